@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.exprs import as_of_ts, clip, col, dbl, sigmoid
+from ..functions.strata import exact_stratified_flag, hash_order
 
 
 def time_features(df: DataFrame, ts: str = "created_at") -> DataFrame:
@@ -145,53 +146,14 @@ def quotas(n: int, weights: dict[str, float] | None = None,
     return q
 
 
-def hash_order(key: Column, seed: str = "42") -> Column:
-    """Deterministic order key shared with the DuckDB oracle."""
-    return F.md5(F.concat(key.cast("string"), F.lit(seed)))
-
-
-def exact_stratified_take(df: DataFrame, stratum: str, quota: DataFrame, order: Column,
-                          bucket_bits: int = 20) -> DataFrame:
-    """Rows of ``df`` whose rank by ``order`` within ``stratum`` is within the
-    stratum's quota (``quota``: stratum, quota). Exact, without a window over a
-    whole stratum.
-
-    ``order`` is an md5 hex string. Its first ``bucket_bits`` bits give a
-    bucket; a histogram per (stratum, bucket) is pre-aggregated map-side, so
-    a stratum holding a third of the rows costs one row per bucket. A
-    cumulative count over at most 2**bucket_bits buckets per stratum finds
-    the boundary bucket. Rows below it are taken whole; only the rows of the
-    boundary bucket (about 1/2**20 of a stratum) are ranked.
-    """
-    hex_chars = bucket_bits // 4
-    keyed = df.withColumns({
-        "_ord": order,
-        "_bucket": F.conv(F.substring(order, 1, hex_chars), 16, 10).cast("long"),
-    })
-    hist = keyed.groupBy(stratum, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    running = Window.partitionBy(stratum).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    bounds = (hist.join(F.broadcast(quota), stratum)
-              .withColumn("_cum", F.sum("_n").over(running))
-              .where(F.col("_cum") - F.col("_n") < F.col("quota"))
-              .groupBy(stratum)
-              .agg(F.max("_bucket").alias("_edge"),
-                   F.max_by(F.col("quota") - (F.col("_cum") - F.col("_n")), F.col("_bucket")).alias("_need")))
-    # One row per stratum: bounded by the number of strata in ``quota``.
-    marked = keyed.join(F.broadcast(bounds), stratum)
-    below = marked.where(F.col("_bucket") < F.col("_edge"))
-    edge = marked.where(F.col("_bucket") == F.col("_edge"))
-    in_edge = Window.partitionBy(stratum, "_bucket").orderBy("_ord", *[c for c in df.columns if c == "ticket_id"])
-    edge = edge.withColumn("_r", F.row_number().over(in_edge)).where(F.col("_r") <= F.col("_need")).drop("_r")
-    return below.unionByName(edge).drop("_ord", "_bucket", "_edge", "_need", "quota")
-
-
 def dept_quota_sample(df: DataFrame, n: int, weights: dict[str, float] | None = None,
                       seed: str = "42") -> DataFrame:
     """Exactly ``int(n * w)`` tickets per department (remainder to Roads),
     chosen by a seeded hash order; all of a department if it has fewer."""
     q = quotas(n, weights)
     quota = df.sparkSession.createDataFrame(list(q.items()), "dept string, quota long")
-    return exact_stratified_take(df, "dept", quota, hash_order(F.col("ticket_id"), seed))
+    flagged = exact_stratified_flag(df, "dept", quota, hash_order(F.col("ticket_id"), seed), "_take")
+    return flagged.where(F.col("_take")).drop("_take")
 
 
 def age_days(ts: str | Column = "created_at", as_of: str = dims.AS_OF) -> Column:

@@ -8,15 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _load():
-    from . import catalog  # noqa: F401  (registers batch queries)
-    try:
-        from . import model_queries  # noqa: F401
-    except ImportError:
-        pass
-    try:
-        from ..streaming import stream_queries  # noqa: F401
-    except ImportError:
-        pass
+    from . import catalog, model_queries  # noqa: F401  (importing registers)
+    from ..streaming import stream_queries  # noqa: F401
     return catalog.REGISTRY
 
 
