@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions.exprs import hours_between, as_of_ts, risk_band, risk_status, round_half_even
 from ..operators import checks, enrich, filters, impact, kpis, monitor, queue, urgency
-from ..sources.tickets import tickets
+from ..sources.tickets import stored_tickets as tickets
 from .sql import AS_OF_SQL, age_days, case_map, d, hours_since, round_even, s, str_list, with_tickets
 
 

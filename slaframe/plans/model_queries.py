@@ -13,7 +13,7 @@ from ..functions.exprs import priority_formula
 from ..operators import checks, model as M
 from ..session import ensure_checkpoint_dir, fresh_dir
 from ..sources import files
-from ..sources.tickets import tickets as T
+from ..sources.tickets import stored_tickets as T
 from .catalog import r6, register
 from .sql import d, round_even, with_tickets
 

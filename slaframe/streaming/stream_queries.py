@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..plans.catalog import r6, register
 from ..plans.sql import AS_OF_SQL, d, hours_since, with_tickets
 from ..session import fresh_dir
-from ..sources.tickets import tickets as T
+from ..sources.tickets import stored_tickets as T
 from . import streams
 
 
