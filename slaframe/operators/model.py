@@ -90,19 +90,22 @@ def score(model: PipelineModel, df: DataFrame, out: str = "pred_sla_breach_prob"
     return scored.select(*keep, vector_to_array("probability")[1].alias(out))
 
 
-def auc(df: DataFrame, score_col: str, label: str = LABEL, by: list[str] | None = None,
-        buckets: int = AUC_BUCKETS) -> DataFrame:
-    """Exact ROC AUC (ties count one half), per group of ``by``.
+def score_counts(df: DataFrame, score_col: str, label: str = LABEL, by: list[str] | None = None) -> DataFrame:
+    """Positives and negatives per distinct score (and group): the map-side
+    pre-aggregation every AUC starts from."""
+    by = list(by or [])
+    return (df.groupBy(*by, score_col)
+            .agg(F.sum(F.col(label).cast("long")).alias("_pos"),
+                 F.sum((1 - F.col(label)).cast("long")).alias("_neg")))
 
-    Scores must lie in [0, 1] (probabilities). Output: ``by`` + ``auc``.
-    """
+
+def auc_from_counts(per_score: DataFrame, score_col: str, by: list[str] | None = None,
+                    buckets: int = AUC_BUCKETS) -> DataFrame:
+    """Exact AUC from ``score_counts`` output."""
     by = list(by or [])
-    per_score = (df.groupBy(*by, score_col)
-                 .agg(F.sum(F.col(label).cast("long")).alias("_pos"),
-                      F.sum((1 - F.col(label)).cast("long")).alias("_neg")))
     b = F.least(F.greatest(F.floor(F.col(score_col) * buckets), F.lit(0)), F.lit(buckets - 1)).cast("int")
     per_score = per_score.withColumn("_b", b)
-    # At most ``buckets`` rows per group: the only un-keyed window here.
+    # At most ``buckets`` rows per group: the only window not keyed by score bucket.
     per_bucket = per_score.groupBy(*by, "_b").agg(F.sum("_neg").alias("_bneg"))
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(*by, "_b", F.coalesce(F.sum("_bneg").over(before), F.lit(0)).alias("_off"))
@@ -115,6 +118,15 @@ def auc(df: DataFrame, score_col: str, label: str = LABEL, by: list[str] | None
     return out.select(*by, (F.col("_u") / (F.col("_p") * F.col("_n"))).alias("auc"))
 
 
+def auc(df: DataFrame, score_col: str, label: str = LABEL, by: list[str] | None = None,
+        buckets: int = AUC_BUCKETS) -> DataFrame:
+    """Exact ROC AUC (ties count one half), per group of ``by``.
+
+    Scores must lie in [0, 1] (probabilities). Output: ``by`` + ``auc``.
+    """
+    return auc_from_counts(score_counts(df, score_col, label, by), score_col, by, buckets)
+
+
 def brier(df: DataFrame, score_col: str, label: str = LABEL) -> DataFrame:
     """Mean squared error of the probability."""
     e = F.col(score_col) - F.col(label)
@@ -172,10 +184,12 @@ def permutation_importance(model: PipelineModel, test: DataFrame, repeats: int =
         for f in FEATURES])
     exploded = (paired.select("ticket_id", LABEL, "repeat", F.explode(variants).alias("v"))
                 .select("ticket_id", LABEL, "repeat", "v.*"))
-    # Materialise the scored variants once (reliable checkpoint in the shared
-    # folder) so the grouped AUC does not re-run pairing and scoring.
-    scored = score(model, exploded).select("feature", "repeat", LABEL, "pred_sla_breach_prob").checkpoint()
-    per = auc(scored, "pred_sla_breach_prob", by=["feature", "repeat"])
+    # Scored variants are reduced to label counts per distinct score before
+    # the shuffle; only those counts are checkpointed (the shared folder), so
+    # the grouped AUC does not re-run pairing and scoring.
+    scored = score(model, exploded)
+    counts = score_counts(scored, "pred_sla_breach_prob", by=["feature", "repeat"]).checkpoint()
+    per = auc_from_counts(counts, "pred_sla_breach_prob", by=["feature", "repeat"])
     drops = per.select("feature", "repeat", (base.select("auc").scalar() - F.col("auc")).alias("drop"))
     return drops.groupBy("feature").agg(F.avg("drop").alias("importance_mean"),
                                         F.stddev_pop("drop").alias("importance_std"))
