@@ -39,14 +39,18 @@ def _checkpointed(spark, sf, name, build):
 def _fitted(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _MODELS:
-        train = _checkpointed(spark, sf, "train",
-                              lambda: M.features(_split(spark, sf).where(~F.col("is_test"))))
+        train = M.features(_split_stored(spark, sf).where(~F.col("is_test")))
         _MODELS[key] = M.train_gbt(train, max_iter=QUERY_MAX_ITER)
     return _MODELS[key]
 
 
 def _test(spark, sf):
-    return _checkpointed(spark, sf, "test", lambda: M.features(_split(spark, sf).where(F.col("is_test"))))
+    return M.features(_split_stored(spark, sf).where(F.col("is_test")))
+
+
+def _split_stored(spark, sf):
+    """The split, computed once and checkpointed: train and test read it."""
+    return _checkpointed(spark, sf, "split", lambda: _split(spark, sf))
 
 
 # SQL for the exact split: per label, ceil(0.2 n) rows by md5 order are test.

@@ -164,6 +164,6 @@ def stored_tickets(spark: SparkSession, sf_dir: str, as_of: str = dims.AS_OF) ->
     if key not in _STORED:
         path = fresh_dir(spark, "tickets")
         (tickets(spark, sf_dir, as_of).withColumn("created_date", F.to_date("created_at"))
-         .write.partitionBy("created_date").parquet(path))
+         .hint("rebalance", "created_date").write.partitionBy("created_date").parquet(path))
         _STORED[key] = path
     return spark.read.parquet(_STORED[key]).select(*dims.PREDICTION_COLUMNS)
