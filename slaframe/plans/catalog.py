@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions.exprs import hours_between, as_of_ts, risk_band, risk_status, round_half_even
+from ..functions.exprs import risk_band
 from ..operators import checks, enrich, filters, impact, kpis, monitor, queue, urgency
 from ..sources.tickets import stored_tickets as tickets
 from .sql import AS_OF_SQL, age_days, case_map, d, hours_since, round_even, s, str_list, with_tickets
@@ -65,10 +65,6 @@ def r6(c):
     return F.round(c if not isinstance(c, str) else F.col(c), 6)
 
 
-def q6(x: str) -> str:
-    return f"round({x}, 6)"
-
-
 T = tickets  # (spark, sf_dir) -> tickets DataFrame
 
 # ---------------------------------------------------------------- sources

@@ -4,10 +4,9 @@ DataFrame."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
+from .. import dims
 from ..plans.catalog import r6, register
-from ..plans.sql import AS_OF_SQL, d, hours_since, with_tickets
+from ..plans.sql import case_map, d, hours_since, with_tickets
 from ..session import fresh_dir
 from ..sources.tickets import stored_tickets as T
 from . import streams
@@ -33,9 +32,7 @@ def t02_stream_kpis(spark, sf):
     return spark.read.parquet(f"{base}/sink").withColumn("value_sum", r6("value_sum"))
 
 
-_PRESS = "CASE district " + " ".join(
-    f"WHEN '{k}' THEN {d(v)}" for k, v in __import__("slaframe.dims", fromlist=["x"]).DISTRICT_PRESSURE.items()) \
-    + " END"
+_PRESS = case_map("district", dims.DISTRICT_PRESSURE)
 
 
 @register("t03_stream_score", with_tickets(
