@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, parity_join, quality, warc
+from . import bpe, exact_dedup, imatch, packing, parity_join, quality, warc
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_warc": warc.op4_warc,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op10_imatch": imatch.op10_imatch,
 }
 
 ORACLE_SQL = {
