@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, imatch, packing, parity_join, quality, warc
+from . import (bpe, chat, exact_dedup, imatch, licenses, packing, parity_join, quality, token_counts,
+               warc)
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -10,7 +11,10 @@ QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_warc": warc.op4_warc,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op8_token_counts": token_counts.op8_token_counts,
+    "op9_license_scan": licenses.op9_license_scan,
     "op10_imatch": imatch.op10_imatch,
 }
 
