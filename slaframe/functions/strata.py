@@ -12,7 +12,7 @@ def hash_order(key: Column, seed: str = "42") -> Column:
 
 
 def exact_stratified_flag(df: DataFrame, stratum: str, quota: DataFrame, order: Column, out: str,
-                          bucket_bits: int = 20) -> DataFrame:
+                          bucket_bits: int = 20, tie: tuple[str, ...] = ("ticket_id",)) -> DataFrame:
     """Add boolean ``out``: the row is among the first ``quota`` rows of its
     stratum by ``order`` (an md5 hex string); strata missing from ``quota``
     take nothing. Exact, without a window over a whole stratum.
@@ -22,25 +22,26 @@ def exact_stratified_flag(df: DataFrame, stratum: str, quota: DataFrame, order:
     of the rows costs one row per bucket. A running count over at most
     2**bucket_bits buckets per stratum finds the boundary bucket. Rows below
     it are taken whole; only the rows of the boundary bucket (about 2**-20 of
-    a stratum) are ranked in a window. ``quota`` and the per-stratum bounds
-    have one row per stratum, which bounds their broadcasts.
+    a stratum) are ranked in a window, ties by the columns ``tie``. Rows with a
+    null order key stay and get False. ``quota`` and the bounds have one row per
+    stratum; Spark broadcasts them if they are small.
     """
     hex_chars = bucket_bits // 4
     keyed = df.withColumns({"_ord": order,
                             "_bucket": F.conv(F.substring(order, 1, hex_chars), 16, 10).cast("long")})
-    hist = keyed.groupBy(stratum, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    hist = keyed.where(F.col("_bucket").isNotNull()).groupBy(stratum, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     running = Window.partitionBy(stratum).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    bounds = (hist.join(F.broadcast(quota), stratum)
+    bounds = (hist.join(quota, stratum)
               .withColumn("_cum", F.sum("_n").over(running))
               .where(F.col("_cum") - F.col("_n") < F.col("quota"))
               .groupBy(stratum)
               .agg(F.max("_bucket").alias("_edge"),
                    F.max_by(F.col("quota") - (F.col("_cum") - F.col("_n")), F.col("_bucket")).alias("_need")))
-    marked = keyed.join(F.broadcast(bounds), stratum, "left")
+    marked = keyed.join(bounds, stratum, "left")
     edge_rows = F.col("_bucket") == F.col("_edge")
-    plain = marked.where(~edge_rows | F.col("_edge").isNull()).withColumn(
+    plain = marked.where(~edge_rows | F.col("_edge").isNull() | F.col("_bucket").isNull()).withColumn(
         out, F.coalesce(F.col("_bucket") < F.col("_edge"), F.lit(False)))
-    tie = [c for c in df.columns if c == "ticket_id"]
+    tie = [c for c in tie if c in df.columns]
     in_edge = Window.partitionBy(stratum, "_bucket").orderBy("_ord", *tie)
     edge = marked.where(edge_rows).withColumn(out, F.row_number().over(in_edge) <= F.col("_need"))
     return plain.unionByName(edge).drop("_ord", "_bucket", "_edge", "_need")

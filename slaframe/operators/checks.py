@@ -25,8 +25,8 @@ def recency_split(df: DataFrame, as_of: str = dims.AS_OF, days: int = 30) -> Dat
                  F.count_if(age <= days).alias("recent"),
                  F.count_if(age > days).alias("older"))
     return out.select("total", "recent", "older",
-                      (F.col("recent") * dbl(100.0) / F.col("total")).alias("recent_pct"),
-                      (F.col("older") * dbl(100.0) / F.col("total")).alias("older_pct"))
+                      F.try_divide(F.col("recent") * dbl(100.0), F.col("total")).alias("recent_pct"),
+                      F.try_divide(F.col("older") * dbl(100.0), F.col("total")).alias("older_pct"))
 
 
 def label_check(df: DataFrame, label: str = "sla_breach") -> DataFrame:
@@ -46,7 +46,7 @@ def readiness(df: DataFrame, as_of: str = dims.AS_OF) -> DataFrame:
                 F.count_if(U.critical()).alias("critical"),
                 F.count_if(U.dire()).alias("dire"),
                 F.count_if(U.high_risk()).alias("high_risk"))
-    pct = F.col("already_breached") * dbl(100.0) / F.col("total")
+    pct = F.try_divide(F.col("already_breached") * dbl(100.0), F.col("total"))
     out = out.withColumn("already_breached_pct", pct)
     return out.withColumns({
         "breached_verdict": F.when(F.col("already_breached_pct") > 60, "FAIL")

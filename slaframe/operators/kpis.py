@@ -74,7 +74,8 @@ def executive_summary(df: DataFrame, as_of: str = dims.AS_OF) -> DataFrame:
         F.min_by(F.col("category"), F.when(is_category & F.col("category").isNotNull(),
                                            F.struct(-F.col("n"), F.col("category")))).alias("top_category"),
     )
-    out = out.withColumn("tickets", F.coalesce("tickets", F.lit(0)))
+    counts = ("tickets", "already_breached", "critical", "dire", "high_risk", "vulnerable_critical", "vulnerable_total")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
     return out.withColumn("capacity_alert", U.capacity_alert(F.col("critical"), F.col("dire"), F.col("high_risk")))
 
 

@@ -101,7 +101,7 @@ def score_counts(df: DataFrame, score_col: str, label: str = LABEL, by: list[str
 
 def auc_from_counts(per_score: DataFrame, score_col: str, by: list[str] | None = None,
                     buckets: int = AUC_BUCKETS) -> DataFrame:
-    """Exact AUC from ``score_counts`` output."""
+    """Exact AUC from ``score_counts`` output; null where one class is missing."""
     by = list(by or [])
     b = F.least(F.greatest(F.floor(F.col(score_col) * buckets), F.lit(0)), F.lit(buckets - 1)).cast("int")
     per_score = per_score.withColumn("_b", b)
@@ -115,7 +115,7 @@ def auc_from_counts(per_score: DataFrame, score_col: str, by: list[str] | None =
     out = ranked.groupBy(*by).agg(
         F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") * dbl(0.5))).alias("_u"),
         F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"))
-    return out.select(*by, (F.col("_u") / (F.col("_p") * F.col("_n"))).alias("auc"))
+    return out.select(*by, F.try_divide(F.col("_u"), F.col("_p") * F.col("_n")).alias("auc"))
 
 
 def auc(df: DataFrame, score_col: str, label: str = LABEL, by: list[str] | None = None,

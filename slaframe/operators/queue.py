@@ -81,7 +81,7 @@ def select_rows(queue: DataFrame, edits: DataFrame) -> DataFrame:
     """Q04: apply edits (null keeps the default) and keep selected rows."""
     e = edits.select("ticket_id", *[F.col(c).alias(f"_e_{c}") for c in ("select", "escalate", "route_dept",
                                                                           "route_ministry")])
-    joined = queue.join(F.broadcast(e), "ticket_id", "left")
+    joined = queue.join(e, "ticket_id", "left")
     edited = joined.select(
         F.coalesce("_e_select", "select").alias("select"),
         F.coalesce("_e_escalate", "escalate").alias("escalate"),

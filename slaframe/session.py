@@ -65,12 +65,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(current)
         return current
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="slaframe-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return local
 
 
+def path_kind(spark: SparkSession, path: str) -> str | None:
+    """"file", "folder" or None, asked of the store the path lies in."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    return "folder" if fs.getFileStatus(p).isDirectory() else "file"
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new, unused folder under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

@@ -16,8 +16,7 @@ from . import streams
           "SELECT DISTINCT ON (event_id) event_id, ts, user_id, event_type, value, props FROM events")
 def t01_stream_ingest(spark, sf):
     base = fresh_dir(spark, "t01")
-    q = streams.stream_ingest(streams.read_event_stream(spark, sf, "events.parquet"))
-    streams.run_available(q, f"{base}/sink", f"{base}/checkpoint")
+    streams.ingest_once(streams.read_event_stream(spark, sf, "events.parquet"), f"{base}/sink", f"{base}/checkpoint")
     return spark.read.schema(streams.EVENT_SCHEMA).parquet(f"{base}/sink")
 
 

@@ -24,6 +24,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import dims
 from ..functions.exprs import priority_formula
 from ..operators import enrich, urgency
+from ..session import path_kind
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 _EPOCH = "1970-01-01 00:00:00"
@@ -42,16 +43,46 @@ def instant_to_ntz(c: Column) -> Column:
     return F.timestamp_add("MICROSECOND", F.unix_micros(c), F.lit(_EPOCH).cast("timestamp_ntz"))
 
 
-def read_event_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet",
+def read_event_stream(spark: SparkSession, folder: str, name: str = "",
                       max_files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", pattern)
+    """Stream over a table of events: a folder of files or a single file, at
+    ``folder`` or under ``name`` in it. Raises if there is neither."""
+    path = f"{folder.rstrip('/')}/{name}".rstrip("/")
+    kind = path_kind(spark, path)
+    if kind is None:
+        raise FileNotFoundError(path)
+    reader = spark.readStream.schema(EVENT_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.parquet(folder)
+    if kind == "folder":
+        return reader.option("recursiveFileLookup", "true").parquet(path)
+    parent, _, leaf = path.rpartition("/")
+    return reader.option("pathGlobFilter", leaf).parquet(parent)
+
+
+def ingest_once(events: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+    """Files into a date-partitioned table, every event id once, however
+    late its row arrives. Each micro-batch is held against the dates of the
+    table that it touches, so a batch that is run again writes nothing twice."""
+    def add(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.dropDuplicates(["event_id"]).withColumn("event_date", F.to_date("ts"))
+        if path_kind(spark, sink):
+            first, last = rows.agg(F.min("event_date"), F.max("event_date")).first()
+            day = F.col("event_date")
+            there = (spark.read.schema(rows.schema).parquet(sink)
+                     .where(day.between(first, last) | day.isNull()).select("event_id", "event_date"))
+            rows = rows.join(there, (rows.event_id == there.event_id) & rows.event_date.eqNullSafe(there.event_date), "left_anti")
+        rows.write.mode("append").partitionBy("event_date").parquet(sink)
+
+    q = (events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q
 
 
 def stream_ingest(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Event-time watermark and de-duplication by event id."""
+    """Event-time watermark and de-duplication by event id for endless streams:
+    bounded state, rows behind the watermark are dropped."""
     return (events.withColumn("event_time", ntz_to_instant(F.col("ts")))
             .withWatermark("event_time", watermark)
             .dropDuplicatesWithinWatermark(["event_id"])

@@ -64,3 +64,22 @@ def test_rows_behind_the_watermark_are_dropped(spark):
         F.col("ts") >= ev.where("event_id % 2 = 0").agg(F.max("ts")).collect()[0][0]
         - __import__("datetime").timedelta(hours=1)).count()
     assert out.count() == first + late_ok
+
+
+def test_ingest_keeps_late_rows_of_unordered_files(spark):
+    """Six files in no order, one a trigger, equal the batch; a folder table
+    reads like a file."""
+    base = fresh_dir(spark, "test-unordered")
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    ev.union(ev.limit(50)).repartition(6, "event_id").write.parquet(f"{base}/in.parquet")
+    stream = streams.read_event_stream(spark, f"{base}/in.parquet", max_files_per_trigger=1)
+    streams.ingest_once(stream, f"{base}/sink", f"{base}/ckpt")
+    out = spark.read.schema(streams.EVENT_SCHEMA).parquet(f"{base}/sink")
+    assert out.count() == ev.select("event_id").distinct().count()
+
+
+def test_missing_table_raises(spark):
+    import pytest
+
+    with pytest.raises(FileNotFoundError):
+        streams.read_event_stream(spark, "/tmp/no-such-table.parquet")
