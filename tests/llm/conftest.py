@@ -1,0 +1,32 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+ROWS = [  # id, text: nulls, empty, blanks, ties, repeated rows, a long text
+    (1, "the quick brown fox jumps over the lazy dog and runs away from here"),
+    (2, "the quick  brown fox jumps over the lazy dog\tand runs away from here"),
+    (3, "The quick brown fox jumps over the lazy dog and runs away from here"),
+    (4, None), (5, ""), (6, " \n\t"), (7, "one two"), (8, "one  two"),
+    (9, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"),
+    (10, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau phi"),
+    (11, "Ünïcode ñandú, don't   stop 123!\n\nReleased under the MIT License."),
+    (12, " ".join(f"w{i % 977}x{i}" for i in range(30000))),
+    (13, " ".join(f"w{i % 977}x{i}" for i in range(30000)) + " tail"),
+    (7, "one two"), (None, "null id text"),
+]
+
+
+@pytest.fixture(scope="session")
+def docs(spark):
+    """The cases, with columns whose names clash with internal ones."""
+    rows = [(i, t, "en", "s", len(t or ""), 0, "k", i) for i, t in ROWS]
+    return spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, source string, n_chars long, n long, key string, id long").repartition(4).cache()
+
+
+@pytest.fixture
+def rows():
+    return ROWS
