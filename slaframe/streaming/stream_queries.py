@@ -17,7 +17,7 @@ from . import streams
 def t01_stream_ingest(spark, sf):
     base = fresh_dir(spark, "t01")
     streams.ingest_once(streams.read_event_stream(spark, sf, "events.parquet"), f"{base}/sink", f"{base}/checkpoint")
-    return spark.read.schema(streams.EVENT_SCHEMA).parquet(f"{base}/sink")
+    return spark.read.schema(streams.EVENT_SCHEMA).parquet(f"{base}/sink").drop("event_date")
 
 
 @register("t02_stream_kpis",
