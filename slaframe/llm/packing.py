@@ -43,7 +43,7 @@ END_ID = 1
 GROUP = 8192
 FULL = 0.99
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-CACHE = 600_000   # distinct chunks a Python worker keeps
+CACHE = 250_000   # distinct chunks a task keeps
 _ODD = re.compile("[\x1c-\x1f]")
 _CACHES: dict[str, dict[str, bytes]] = {}
 _TOKENIZERS: dict[str, object] = {}
@@ -98,6 +98,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                      pa.array([o[2] for o in out], pa.int64()), pa.array([len(o[3]) // 4 for o in out], pa.int64()),
                      pa.array([zlib.crc32(o[3]) for o in out], pa.int64())],
                     names=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
+        _CACHES.clear()  # Python workers outlive the task
 
     ids = docs.schema[id_col].dataType.simpleString()
     return (docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"),
