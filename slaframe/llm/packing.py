@@ -1,10 +1,13 @@
 """Best-fit packing of tokenized documents by vector best-fit.
 
 Tokenizing is a narrow map. White space separates pre-tokens in this
-tokenizer, so a text is split at ASCII white space and every distinct chunk of
-a task's blocks is encoded once by the ``tokenizers`` library. Texts with the
-separators U+001C to U+001F, which Python and the library class differently,
-are encoded whole. Only (id, piece, start, length, crc) leaves the task.
+tokenizer, so texts are split at ASCII white space by Arrow, and every distinct
+chunk of a block of texts is encoded once by the ``tokenizers`` library. ASCII
+chunks are further split into the tokenizer's own pre-tokens, lower-cased as its
+normalizer does; new pre-tokens are encoded many at a time, joined by spaces, and
+told apart by the tokens that end a word. Chunks with the separators U+001C to
+U+001F, which Python and the library class differently, go to the library as they
+are. Only (id, piece, start, length, crc) leaves the task.
 
 Packing deals pieces by hash into groups of about ``GROUP`` pieces, as many
 groups as the count asks for. Inside a group, pieces go by falling size to the
@@ -23,6 +26,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,31 +35,42 @@ from math import ceil
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, table
+from .common import doc_blocks, stored, table
 
 CAPACITY = 4096
 END_ID = 1
 GROUP = 8192
 FULL = 0.99
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-CACHE = 250_000   # distinct chunks a task keeps
-_ODD = re.compile("[\x1c-\x1f]")
+CACHE = 400_000   # distinct pre-tokens and other chunks that a task keeps
+STEP = 20_000     # chunks handled at once
+JOINED = 500      # pre-tokens encoded in one call
+BLOCK_BYTES = 8 << 20  # texts encoded at once inside a task
+_ODD = re.compile("[^\x00-\x1b\x20-\x7f]")
+# The tokenizer's pre-tokens, for lower-case ASCII.
+_PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 _CACHES: dict[str, dict[str, bytes]] = {}
-_TOKENIZERS: dict[str, object] = {}
+_TOKENIZERS: dict[str, tuple[object, np.ndarray]] = {}
 
 
 def _tokenizer(path: str):
+    """The tokenizer, and for each id whether its token ends a word."""
     if path not in _TOKENIZERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True  # their strings in a text are ordinary text
-        _TOKENIZERS[path] = t
+        vocabulary = t.get_vocab()
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        _TOKENIZERS[path] = t, ends
     return _TOKENIZERS[path]
 
 
@@ -63,21 +78,64 @@ def _id_bytes(ids: list[int]) -> bytes:
     return np.asarray(ids, "<u4").tobytes()
 
 
-def encode(texts: list[str | None], path: str = VOCABULARY) -> list[bytes]:
-    """Little-endian unsigned 32-bit ids of each text, without an end token."""
-    tok = _tokenizer(path)
-    cache = _CACHES.setdefault(path, {})
-    if len(cache) > CACHE:
-        cache.clear()
-    split = [None if t and _ODD.search(t) else (t or "").split() for t in texts]
-    new = list({w for ws in split if ws for w in ws if w not in cache})
-    for lo in range(0, len(new), 20_000):
-        part = new[lo:lo + 20_000]
-        for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
-            cache[w] = _id_bytes(e.ids)
-    get = cache.__getitem__
-    return [b"".join(map(get, ws)) if ws is not None else _id_bytes(tok.encode(t, add_special_tokens=False).ids)
-            for t, ws in zip(texts, split)]
+def _encode_each(words: list[str], path: str) -> Iterator[bytes]:
+    tok, _ = _tokenizer(path)
+    for lo in range(0, len(words), 20_000):
+        for e in tok.encode_batch_fast(words[lo:lo + 20_000], add_special_tokens=False):
+            yield _id_bytes(e.ids)
+
+
+def _encode_joined(words: list[str], path: str) -> Iterator[bytes]:
+    """Ids of pre-tokens, by calls for ``JOINED`` of them."""
+    tok, ends = _tokenizer(path)
+    for lo in range(0, len(words), JOINED):
+        part = words[lo:lo + JOINED]
+        ids = np.asarray(tok.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+        cut = (np.flatnonzero(ends[ids]) + 1) * 4
+        if len(cut) != len(part) or cut[-1] != 4 * len(ids):  # not a tokenizer with word ends
+            yield from _encode_each(part, path)
+            continue
+        raw, at = ids.tobytes(), 0
+        for end in cut.tolist():
+            yield raw[at:end]
+            at = end
+
+
+def _encode_chunks(chunks: list[str], path: str) -> list[bytes]:
+    """Ids of distinct chunks without ASCII white space."""
+    known = _CACHES.setdefault(path, {})
+    if len(known) > CACHE:
+        known.clear()
+    out: list[bytes] = []
+    for lo in range(0, len(chunks), STEP):
+        step = chunks[lo:lo + STEP]
+        odd = list({w for w in step if w not in known and _ODD.search(w)})
+        known.update(zip(odd, _encode_each(odd, path)))
+        cut = [(w,) if w in known else _PRE_TOKEN.findall(w.lower()) for w in step]
+        new = list({p for ps in cut for p in ps if p not in known})
+        known.update(zip(new, _encode_joined(new, path)))
+        out += [known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps]) for ps in cut]
+    return out
+
+
+def encode(texts: pa.Array, path: str = VOCABULARY) -> Iterator[np.ndarray]:
+    """Unsigned 32-bit ids of each text of an Arrow string array, without an
+    end token; null counts as empty."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    for lo, hi in doc_blocks(offsets, BLOCK_BYTES):
+        split = pc.ascii_split_whitespace(texts.slice(lo, hi - lo))
+        words = split.flatten().dictionary_encode()
+        raw = _encode_chunks(words.dictionary.to_pylist(), path)
+        size = np.array([len(r) // 4 for r in raw], np.int64)
+        start = np.cumsum(size) - size
+        of = words.indices.to_numpy()
+        n = size[of]
+        stop = np.concatenate(([0], np.cumsum(n)))
+        ids = np.frombuffer(b"".join(raw), "<u4")[np.repeat(start[of] - stop[:-1], n) + np.arange(stop[-1])]
+        at = stop[np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy())))]
+        for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
+            yield ids[x:y]
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY,
@@ -88,16 +146,14 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
-                out = [(r, p, p * capacity, raw) for r, ids in enumerate(encode(part.column(2).to_pylist(), path))
-                       for p, raw in enumerate(_cut(ids + end, 4 * capacity))]
-                at = pa.array([o[0] for o in out], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(at), part.column(1).take(at), pa.array([o[1] for o in out], pa.int32()),
-                     pa.array([o[2] for o in out], pa.int64()), pa.array([len(o[3]) // 4 for o in out], pa.int64()),
-                     pa.array([zlib.crc32(o[3]) for o in out], pa.int64())],
-                    names=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
+            out = [(r, p, p * capacity, len(raw) // 4, zlib.crc32(raw)) for r, ids in enumerate(encode(b.column(2), path))
+                   for p, raw in enumerate(_cut(ids.tobytes() + end, 4 * capacity))]
+            cols = list(zip(*out)) or [()] * 5
+            at = pa.array(cols[0], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(at), b.column(1).take(at), pa.array(cols[1], pa.int32()),
+                 *[pa.array(c, pa.int64()) for c in cols[2:]]],
+                names=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
         _CACHES.clear()  # Python workers outlive the task
 
     ids = docs.schema[id_col].dataType.simpleString()
