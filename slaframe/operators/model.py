@@ -9,7 +9,8 @@
 * AUC is exact (mid-rank / Mann-Whitney form) and distributed: labels are
   pre-aggregated per distinct score, negatives below each score come from a
   per-bucket prefix sum (at most ``AUC_BUCKETS`` rows) plus a prefix sum
-  inside each score bucket. It supports extra grouping keys, which the
+  inside each score bucket. Buckets are cut at quantiles of the distinct
+  scores, so they stay even wherever the scores lie. It supports extra grouping keys, which the
   permutation importance uses to score all (feature, repeat) variants in one
   job.
 """
@@ -18,13 +19,14 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Bucketizer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import dbl
 from ..functions.strata import exact_stratified_flag, hash_order
+from ..session import ensure_checkpoint_dir
 
 CAT_COLS = ["district", "ward", "dept", "category", "reported_via"]
 NUM_COLS = ["severity", "citizen_sentiment", "vulnerable_population", "historical_backlog",
@@ -32,7 +34,8 @@ NUM_COLS = ["severity", "citizen_sentiment", "vulnerable_population", "historica
             "created_hour", "is_business_hours", "is_weekend"]
 FEATURES = CAT_COLS + NUM_COLS  # escalation columns are left out: they leak the label
 LABEL = "sla_breach"
-AUC_BUCKETS = 1 << 16
+AUC_BUCKETS = 1024
+PERMUTATION_BITS = 12  # leading hash bits that deal rows into rank buckets
 
 
 def features(df: DataFrame, keep: tuple[str, ...] = ("ticket_id", LABEL)) -> DataFrame:
@@ -101,10 +104,12 @@ def score_counts(df: DataFrame, score_col: str, label: str = LABEL, by: list[str
 
 def auc_from_counts(per_score: DataFrame, score_col: str, by: list[str] | None = None,
                     buckets: int = AUC_BUCKETS) -> DataFrame:
-    """Exact AUC from ``score_counts`` output; null where one class is missing."""
+    """Exact AUC from ``score_counts`` output; null where one class is missing.
+    ``per_score`` is read twice, so it should be stored."""
     by = list(by or [])
-    b = F.least(F.greatest(F.floor(F.col(score_col) * buckets), F.lit(0)), F.lit(buckets - 1)).cast("int")
-    per_score = per_score.withColumn("_b", b)
+    cuts = per_score.approxQuantile(score_col, [i / buckets for i in range(1, buckets)], 0.25 / buckets)
+    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    per_score = Bucketizer(splits=splits, inputCol=score_col, outputCol="_b", handleInvalid="skip").transform(per_score)
     # At most ``buckets`` rows per group: the only window not keyed by score bucket.
     per_bucket = per_score.groupBy(*by, "_b").agg(F.sum("_neg").alias("_bneg"))
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -122,9 +127,11 @@ def auc(df: DataFrame, score_col: str, label: str = LABEL, by: list[str] | None
         buckets: int = AUC_BUCKETS) -> DataFrame:
     """Exact ROC AUC (ties count one half), per group of ``by``.
 
-    Scores must lie in [0, 1] (probabilities). Output: ``by`` + ``auc``.
+    Rows without a score are left out. Output: ``by`` + ``auc``.
     """
-    return auc_from_counts(score_counts(df, score_col, label, by), score_col, by, buckets)
+    ensure_checkpoint_dir(df.sparkSession)
+    counts = score_counts(df, score_col, label, by).checkpoint()
+    return auc_from_counts(counts, score_col, by, buckets)
 
 
 def brier(df: DataFrame, score_col: str, label: str = LABEL) -> DataFrame:
@@ -145,39 +152,38 @@ def risk_calibration(df: DataFrame, score_col: str, label: str = LABEL) -> DataF
                   F.coalesce(F.avg(F.when(p < 0.3, F.col(label))), dbl(0.0)).alias("low_risk_breach_rate"))
 
 
-def _pairing(test: DataFrame, repeats: int, seed: int, rows_per_bucket: int) -> DataFrame:
-    """Random within-bucket permutations: for each repeat, row ``i`` is paired
-    with the row whose hash rank equals ``i``'s id rank inside a hash bucket.
-    Buckets are sized from the row count, so no window sees more than about
-    ``rows_per_bucket`` rows however large or skewed the data is."""
-    n = test.count()
-    n_buckets = max(1, -(-n // rows_per_bucket))
-    parts = []
+def _ranked(rows: DataFrame, salt: int) -> DataFrame:
+    """Add ``_rank``: the place (from 1) of each row in the order of a salted
+    hash of its id. The leading hash bits give a bucket; a place is the rows of
+    earlier buckets (at most 2**PERMUTATION_BITS sums) plus the place inside."""
+    keyed = rows.withColumn("_h", F.xxhash64(F.lit(salt), "ticket_id"))
+    keyed = keyed.withColumn("_bk", F.shiftright("_h", 64 - PERMUTATION_BITS))
+    before = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (keyed.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n"))
+               .select("_bk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
+    inside = F.row_number().over(Window.partitionBy("_bk").orderBy("_h", "ticket_id"))
+    return keyed.join(offsets, "_bk").withColumn("_rank", F.col("_off") + inside).drop("_bk", "_h", "_off")
+
+
+def _pairing(test: DataFrame, repeats: int, seed: int) -> DataFrame:
+    """Random permutations of the whole test set, one a repeat: the row at
+    some place of one hash order is paired with the row at the same place of
+    another. The scheme is the same at every size."""
+    left = _ranked(test, seed * 1000 - 1)
+    out = None
     for r in range(repeats):
-        salt = F.lit(seed * 1000 + r)
-        keyed = test.withColumns({
-            "_bk": F.pmod(F.xxhash64("ticket_id", salt), F.lit(n_buckets)),
-            "_h": F.xxhash64(salt, "ticket_id"),
-        })
-        by_id = Window.partitionBy("_bk").orderBy("ticket_id")
-        by_h = Window.partitionBy("_bk").orderBy("_h", "ticket_id")
-        ranked = keyed.withColumns({"_ra": F.row_number().over(by_id), "_rb": F.row_number().over(by_h)})
-        left = ranked.select("_bk", "_ra", "ticket_id", LABEL, *FEATURES)
-        right = ranked.select("_bk", F.col("_rb").alias("_ra"), *[F.col(c).alias(f"_p_{c}") for c in FEATURES])
-        parts.append(left.join(right, ["_bk", "_ra"]).drop("_bk", "_ra").withColumn("repeat", F.lit(r)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        right = _ranked(test, seed * 1000 + r).select("_rank", *[F.col(c).alias(f"_p_{c}") for c in FEATURES])
+        part = left.join(right, "_rank").drop("_rank").withColumn("repeat", F.lit(r))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
-def permutation_importance(model: PipelineModel, test: DataFrame, repeats: int = 5, seed: int = 42,
-                           rows_per_bucket: int = 200_000) -> DataFrame:
+def permutation_importance(model: PipelineModel, test: DataFrame, repeats: int = 5, seed: int = 42) -> DataFrame:
     """AUC drop when one feature's values are shuffled across test rows;
     mean and population std over ``repeats``. All 16 x repeats variants are
     scored and evaluated in one pass (exploded rows + grouped AUC)."""
     base = auc(score(model, test.select("ticket_id", LABEL, *FEATURES)), "pred_sla_breach_prob")
-    paired = _pairing(test.select("ticket_id", LABEL, *FEATURES), repeats, seed, rows_per_bucket)
+    paired = _pairing(test.select("ticket_id", LABEL, *FEATURES), repeats, seed)
     variants = F.array(*[
         F.struct(F.lit(f).alias("feature"),
                  *[(F.col(f"_p_{c}") if c == f else F.col(c)).alias(c) for c in FEATURES])

@@ -186,7 +186,7 @@ def test_auc_matches_rank_formula(spark):
 def test_permutation_pairing_is_a_permutation(spark):
     rows = [{"ticket_id": str(i), "severity": i % 3 + 1, "traffic_index": i} for i in range(500)]
     test = M.features(ticket_rows(spark, rows))
-    paired = M._pairing(test, repeats=2, seed=42, rows_per_bucket=64).toPandas()
+    paired = M._pairing(test, repeats=2, seed=42).toPandas()
     for r in (0, 1):
         part = paired[paired.repeat == r]
         assert sorted(part.ticket_id) == sorted(str(i) for i in range(500))
