@@ -15,7 +15,9 @@ open bin that fits best under every capacity (tokens, documents, attention
 cost): by the least residual norm or the largest weighted dot product of need
 and residual. Bins that stay emptier than ``FULL`` go on as units to further
 rounds with fewer groups, so the waste is about one bin in all, not one a
-group. A group's size is bounded by the hash, whatever sources or lengths
+group. A bin that cannot hold the least open amount of every resource besides
+its own joins no other and is final; the rounds end when one group holds all
+units or when a round leaves as many open units as it found. A group's size is bounded by the hash, whatever sources or lengths
 repeat; no task sees more than a group.
 
 Defined cases: null text counts as empty (one end token); pieces of the full
@@ -47,6 +49,7 @@ CAPACITY = 4096
 END_ID = 1
 GROUP = 8192
 FULL = 0.99
+RESOURCES = ["tokens", "documents", "attention"]
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 CACHE = 400_000   # distinct pre-tokens and other chunks that a task keeps
 STEP = 20_000     # chunks handled at once
@@ -210,8 +213,10 @@ def _round(units: DataFrame, groups: int, turn: int, capacity: list[float], rule
 
     def packed(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("unit", kind="stable")
-        bins = best_fit(frame[["tokens", "documents", "attention"]].to_numpy(float), caps, rule)
-        return pd.DataFrame({"unit": frame["unit"], "bin": bins + ((turn << 56) | (int(frame["g"].iloc[0]) << 24))})
+        bins = best_fit(frame[RESOURCES].to_numpy(float), caps, rule)
+        units = frame["unit"].to_numpy()
+        first = np.unique(bins, return_index=True)[1]
+        return pd.DataFrame({"unit": units, "bin": units[first[bins]]})  # a bin has the name of its first unit
 
     dealt = units.withColumn("g", F.pmod(F.xxhash64("unit", F.lit(turn)), F.lit(groups)))
     return dealt.groupBy("g").applyInPandas(packed, "unit long, bin long")
@@ -231,8 +236,8 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, max_documents: int | None
         raise ValueError(f"{bad} units exceed a sequence")
     placed = None  # unit -> bin so far
     turn = 0
+    n = units.count()
     while True:
-        n = units.count()
         groups = max(1, ceil(n / group))
         got = stored(_round(units, groups, turn, caps, rule), "bins")
         placed = got.select("unit", F.col("bin").alias("sequence_id")) if placed is None else (
@@ -242,9 +247,14 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, max_documents: int | None
         if groups == 1:
             return placed
         full = (F.col("tokens") >= FULL * caps[0]) | (F.col("documents") >= caps[1]) | (F.col("attention") >= FULL * caps[2])
-        units = stored(units.join(got, "unit").groupBy("bin").agg(
-            *[F.sum(c).alias(c) for c in ("tokens", "documents", "attention")]).where(~full)
-            .withColumnRenamed("bin", "unit"), "open")
+        units = stored(units.join(got, "unit").groupBy("bin").agg(*[F.sum(c).alias(c) for c in RESOURCES]).where(~full)
+                       .withColumnRenamed("bin", "unit"), "open")
+        least = units.agg(*[F.min(c) for c in RESOURCES]).first()
+        for c, m, cap in zip(RESOURCES, least, caps):
+            units = units.where(F.col(c) + F.lit(m) <= cap)  # beside what is least, or alone for good
+        before, n = n, units.count()
+        if n in (0, before):
+            return placed
         turn += 1
 
 

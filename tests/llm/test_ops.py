@@ -143,6 +143,22 @@ def test_packing_in_groups_and_rounds(spark):
     assert got.agg(F.sum("t")).first()[0] == sizes.agg(F.sum("tokens")).first()[0]
 
 
+def test_packing_ends_when_no_two_units_fit(spark):
+    def sequences(sizes):
+        got = packing.pack(sizes, 4096, group=500).join(sizes, "unit").groupBy("sequence_id").agg(
+            F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()
+        assert sum(r.n for r in got) == sizes.count() and max(r.t for r in got) <= 4096
+        return len(got)
+
+    unit = F.col("id").alias("unit")
+    large = spark.range(3000).select(unit, (2100 + F.col("id") % 1900).alias("tokens"))
+    assert sequences(large) == 3000  # no two fit
+    few = large.withColumn("tokens", F.when(F.col("unit") % 1000 == 7, 50).otherwise(F.col("tokens")))
+    assert sequences(few) == 2997  # a short one fits beside any
+    apart = spark.range(3000).select(unit, F.when(F.col("id") % 750 == 7, 1500).otherwise(3000).alias("tokens"))
+    assert sequences(apart) == 2998  # short ones fit beside each other only
+
+
 def test_byte_bpe(docs, rows):
     import tiktoken
 
