@@ -3,7 +3,9 @@
 Texts and templates are sequences of lower-cased alphanumeric words. A
 document that holds enough of a template's distinct words is looked at near
 the template's rarest word in it: around each cluster of its occurrences a
-window is aligned with the template. The alignment anchors on words that are
+window is aligned with the template; where the window holds a seed more often
+than the template does, so are the windows of each occurrence, between its
+neighbours and by its place in the template. The alignment anchors on words that are
 unique in both, keeps the longest increasing subsequence of anchors, and goes
 on inside the gaps; equal words at the ends of a gap match as they stand.
 Coverage is the share of the template's words that are aligned.
@@ -11,7 +13,8 @@ Coverage is the share of the template's words that are aligned.
 A narrow map over whole texts; templates are a bounded parameter.
 
 Defined cases: null and empty texts have no matches; a template that occurs
-several times is reported once, where coverage is best (the first at ties);
+several times is reported once, where coverage is best (at ties the shortest
+span, then the first);
 null ids and repeated rows are scanned each. Columns other than id and text
 are not read. An empty table gives an empty result.
 """
@@ -106,7 +109,12 @@ def scan(words: list[str], template: list[str], least: float = COVERAGE) -> tupl
     slack = int((1 - least) * len(template) + 1e-9) - missing
     seeds = sorted(here, key=lambda w: (len(here[w]), w))[:max(1, slack + 1)]
     reach = 2 * len(template)
-    best = None
+    spare = int((1 - least) * len(template)) + 1
+    found: list[tuple[float, int, int]] = []
+    offsets: dict[str, list[int]] = {w: [] for w in seeds}
+    for k, w in enumerate(template):
+        if w in offsets:
+            offsets[w].append(k)
     spots = sorted({k for w in seeds for k in here[w]})
     lo = 0
     while lo < len(spots):
@@ -114,12 +122,24 @@ def scan(words: list[str], template: list[str], least: float = COVERAGE) -> tupl
         while hi + 1 < len(spots) and spots[hi + 1] - spots[hi] <= len(template) // 2 and spots[hi + 1] - spots[lo] <= reach:
             hi += 1
         begin, end = max(0, spots[lo] - reach), min(len(words), spots[hi] + reach + 1)
-        got = align(words[begin:end], template)
-        cover = len(got) / len(template)
-        if got and cover >= least and (best is None or cover > best[0]):
-            best = (cover, begin + got[0][0], begin + got[-1][0] + 1)
+        windows = {(begin, end)}
+        for w in seeds:  # repeats hide anchors: also look at each copy
+            near = here[w][bisect_left(here[w], begin):bisect_left(here[w], end)]
+            if len(near) <= len(offsets[w]):
+                continue
+            for n, k in enumerate(near):
+                if spots[lo] <= k <= spots[hi]:
+                    windows.add((near[n - 1] + 1 if n else begin, near[n + 1] if n + 1 < len(near) else end))
+                    for at in (k - o for o in offsets[w]):
+                        for room in (0, spare):
+                            windows.add((max(begin, at - room), min(end, at + len(template) + room)))
+        for x, y in windows:
+            got = align(words[x:y], template)
+            cover = len(got) / len(template)
+            if got and cover >= least:
+                found.append((cover, x + got[0][0], x + got[-1][0] + 1))
         lo = hi + 1
-    return best
+    return min(found, key=lambda f: (-f[0], f[2] - f[1], f[1]), default=None)
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = COVERAGE, id_col: str = "doc_id",

@@ -248,6 +248,29 @@ def test_license_scan(docs):
     assert cover > 0.95 and start == 1 and end == len(words) - 3
 
 
+def test_license_scan_finds_repeated_notices():
+    def brute(words, template, longest):  # best coverage over all windows
+        spans = ((i, j) for i in range(len(words)) for j in range(i + 1, min(len(words), i + longest) + 1))
+        return max(len(licenses.align(words[i:j], template)) for i, j in spans) / len(template)
+
+    t = licenses.word_list(licenses.TEMPLATES["mit"])
+    assert licenses.scan(["a"] * 10 + t * 2 + ["b"] * 12, t) == (1.0, 10, 15)
+    rng = np.random.default_rng(5)
+    for name in ("mit", "apache-2.0", "gpl-3.0", "all-rights-reserved"):
+        t = licenses.word_list(licenses.TEMPLATES[name])
+        for case in range(12):
+            words = list(rng.choice(["the", "of", "work", "is", "a", "b", "c"], rng.integers(0, 12)))
+            for _ in range(1 + case % 4):
+                copy = list(t)
+                if case % 3 == 1:
+                    copy[rng.integers(len(t))] = "x"
+                words += copy + list(rng.choice(["the", "of", "a", "b"], rng.integers(0, 4)))
+            words += list(rng.choice(["the", "of", "a", "b"], rng.integers(0, 12)))
+            near, wide = brute(words, t, 2 * len(t)), brute(words, t, len(words))
+            got = (licenses.scan(words, t) or (0,))[0]
+            assert near <= got <= wide or got == 0 and wide < licenses.COVERAGE, (name, words)
+
+
 def test_pipeline_stages_against_brute_force(spark):
     import corpus_pipeline as cp
 
