@@ -15,7 +15,9 @@ A narrow map over whole texts; templates are a bounded parameter.
 Defined cases: null and empty texts have no matches; a template that occurs
 several times is reported once, where coverage is best (at ties the shortest
 span, then the first);
-null ids and repeated rows are scanned each. Columns other than id and text
+a match inside
+the span of one that aligns more words is left out; null ids and repeated rows
+are scanned each. Columns other than id and text
 are not read. An empty table gives an empty result.
 """
 
@@ -33,17 +35,60 @@ from pyspark.sql import functions as F
 from .common import table
 
 COVERAGE = 0.8
-#: Customary license notices.
+_MIT = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+        "associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, "
+        "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is "
+        "furnished to do so, subject to the following conditions:")
+_MIT_REST = (" The above copyright notice and this permission notice shall be included in all copies or substantial portions of "
+             "the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT "
+             "NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO "
+             "EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN "
+             "ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR "
+             "OTHER DEALINGS IN THE SOFTWARE.")
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list "
+        "of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+        "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
+        "with the distribution. ")
+_BSD_NAME = ("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+             "products derived from this software without specific prior written permission. ")
+_BSD_REST = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+             "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+             "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+             "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+             "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER "
+             "CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
+             "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH "
+             "DAMAGE.")
+CC = {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nd": "Attribution-NoDerivatives",
+      "by-nc": "Attribution-NonCommercial", "by-nc-sa": "Attribution-NonCommercial-ShareAlike",
+      "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
+#: Customary license notices, headers and short license texts.
 TEMPLATES = {
     "mit": "Released under the MIT License.",
-    "mit-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-                      "associated documentation files (the \"Software\"), to deal in the Software without restriction, "
-                      "including without limitation the rights to use, copy, modify, merge, publish, distribute, "
-                      "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is "
-                      "furnished to do so, subject to the following conditions:",
+    "mit-permission": _MIT,
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "all-rights-reserved": "All rights reserved.",
+    **{f"cc-{k}-4.0": f"Licensed under CC {k.upper()} 4.0." for k in CC},
+    **{f"cc-{k}-4.0-notice": f"This work is licensed under a Creative Commons {name} 4.0 International License."
+       for k, name in CC.items()},
+    "mit-text": _MIT + _MIT_REST,
+    "bsd-2-clause": _BSD + _BSD_REST,
+    "bsd-3-clause": _BSD + _BSD_NAME + _BSD_REST,
+    "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
+                         "compliance with the License. You may obtain a copy of the License at "
+                         "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in "
+                         "writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT "
+                         "WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the "
+                         "specific language governing permissions and limitations under the License.",
+    **{f"gpl-{v}.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                            "General Public License as published by the Free Software Foundation, either version "
+                            f"{v} of the License, or (at your option) any later version. This program is distributed in the "
+                            "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+                            "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for "
+                            "more details." for v in (2, 3)},
 }
 _WORD = re.compile(r"[^\W_]+")
 
@@ -142,11 +187,22 @@ def scan(words: list[str], template: list[str], least: float = COVERAGE) -> tupl
     return min(found, key=lambda f: (-f[0], f[2] - f[1], f[1]), default=None)
 
 
+def outermost(hits: list[dict], size: dict[str, int]) -> list[dict]:
+    """Without the hits inside the span of one that aligns more words, or as
+    many at a better coverage: a notice is not also a lesser one it contains."""
+    def rank(h: dict) -> tuple[int, float]:
+        return round(h["coverage"] * size[h["template"]]), h["coverage"]
+
+    return [h for h in hits if not any(
+        o["start"] <= h["start"] and h["end"] <= o["end"] and rank(o) > rank(h) for o in hits)]
+
+
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = COVERAGE, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """doc_id, n_words, matches array<struct<template, coverage, start, end>>
     (words), and the best covered template of each document."""
     known = [(name, word_list(t), set(word_list(t))) for name, t in sorted(templates.items())]
+    size = {name: len(t) for name, t, _ in known}
     kind = docs.schema[id_col].dataType.simpleString()
     row = "struct<template: string, coverage: double, start: long, end: long>"
     item = pa.struct([("template", pa.string()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64())])
@@ -163,9 +219,10 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least:
                         got = scan(words, t, least)
                         if got:
                             hits.append({"template": name, "coverage": got[0], "start": got[1], "end": got[2]})
+                hits = outermost(hits, size)
                 sizes.append(len(words))
                 found.append(hits)
-                top = max(hits, key=lambda h: h["coverage"], default=None)
+                top = max(hits, key=lambda h: (h["coverage"], size[h["template"]]), default=None)
                 best.append(top["template"] if top else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(item)),
                                               pa.array(best, pa.string())], names=["doc_id", "n_words", "matches", "license"])

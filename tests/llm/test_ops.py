@@ -271,6 +271,18 @@ def test_license_scan_finds_repeated_notices():
             assert near <= got <= wide or got == 0 and wide < licenses.COVERAGE, (name, words)
 
 
+def test_license_scan_counts_against_phrase_search(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [" " + " ".join(licenses.word_list(r.text or "")) + " " for r in documents.select("text").collect()]
+    got = (licenses.license_scan(documents).select(F.explode("matches.template").alias("t")).groupBy("t").count())
+    want = {n: sum(f" {' '.join(licenses.word_list(t))} " in x for x in texts) for n, t in licenses.TEMPLATES.items()}
+    assert {r.t: r["count"] for r in got.collect()} == {n: k for n, k in want.items() if k}
+    assert want["cc-by-nc-4.0"] > 0
+    each = spark.createDataFrame([(n, f"some words {t} more words") for n, t in licenses.TEMPLATES.items()], "doc_id string, text string")
+    for r in licenses.license_scan(each).collect():
+        assert r.license == r.doc_id and [m.template for m in r.matches] == [r.doc_id]
+
+
 def test_pipeline_stages_against_brute_force(spark):
     import corpus_pipeline as cp
 
