@@ -128,7 +128,10 @@ FROM d WINDOW w AS (PARTITION BY h)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of equal texts the row that stays, all its columns. The
-    ids of ``docs`` are unique there; rows with a null id are kept by text."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """Pipeline stage: of equal texts the row that stays, all its columns. Rows
+    are told apart by their number in a stored copy, so repeated and null ids
+    come back only where the operator keeps them."""
+    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "dedup-docs")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")  # exact_dedup's order of rows
+    kept = exact_dedup(numbered.withColumn("_key", order), "_key").where("kept").select(F.col("doc_id._row").alias("_row"))
+    return numbered.join(kept, "_row", "left_semi").drop("_row")

@@ -58,6 +58,13 @@ def test_exact_dedup(spark, docs, rows):
     assert exact_dedup.exact_dedup(docs.where("false")).count() == 0
 
 
+def test_dedup_stage_with_repeated_and_null_ids(spark):
+    given = [(1, "a"), (1, "b"), (None, "c"), (None, "d"), (2, "a"), (1, "b"), (None, "c"), (1, "d")]
+    docs = spark.createDataFrame(given, "doc_id long, text string")
+    out = [(r.doc_id, r.text) for r in exact_dedup.dedup_stage(spark, docs, "").collect()]
+    assert sorted(out, key=lambda r: r[1]) == [(1, "a"), (1, "b"), (None, "c"), (1, "d")]
+
+
 def shingles(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return {" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
