@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import (bpe, chat, exact_dedup, imatch, licenses, packing, parity_join, quality, token_counts,
-               warc)
+from . import (bpe, chat, exact_dedup, imatch, lattice, licenses, merkle, packing, parity_join, quality, runs,
+               token_counts, warc)
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -16,10 +16,14 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_imatch": imatch.op10_imatch,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_periodic_runs": runs.op12_periodic_runs,
+    "op13_lattice_scores": lattice.op13_lattice_scores,
 }
 
 ORACLE_SQL = {
     "op2_ngram_jaccard_join": parity_join.SQL,
     "op4_warc": warc.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
+    "op11_merkle_manifest": merkle.SQL,
 }
