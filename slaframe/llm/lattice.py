@@ -60,7 +60,7 @@ ROUNDS = 3
 PRIOR = 1000.0
 FOLDS = 10
 SPELLED = 0.7
-BLOCK_BYTES = 48 << 20
+BLOCK_BYTES = 12 << 20
 ROWS = 100_000        # words scored together
 PLACES = 1 << 28      # a block's number and a place in it share a long
 CELLS = 1 << 20       # word positions looked at together
