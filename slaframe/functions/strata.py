@@ -2,46 +2,79 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
+KEY_CHARS = 32  # an md5 in hex
+ABOVE = "~"     # sorts behind every hex digit
+
 
 def hash_order(key: Column, seed: str = "42") -> Column:
     """Deterministic order key shared with the DuckDB oracle."""
     return F.md5(F.concat(key.cast("string"), F.lit(seed)))
 
 
-def exact_stratified_flag(df: DataFrame, stratum: str, quota: DataFrame, order: Column, out: str,
-                          bucket_bits: int = 20, tie: tuple[str, ...] = ("ticket_id",)) -> DataFrame:
+def order_cuts(keys: DataFrame, quota: DataFrame | Callable[[Column], Column], digits: int = 4) -> DataFrame:
+    """stratum, cut: the first ``quota`` keys of a stratum are those below its
+    cut, found by radix descent.
+
+    ``keys`` (stratum, ord) is read once a level. A level counts the keys that
+    agree with the stratum's prefix so far by their next ``digits`` hex digits
+    (at most 16**digits rows a stratum, pre-aggregated) and steps into the
+    bucket that holds the quota's last key. It ends when every such bucket is
+    taken whole, after two levels as a rule, or when the key is used up: equal
+    keys then stay out together. ``quota`` is a table (stratum, quota) or
+    a function of the stratum's size; strata missing from the table have no cut.
+    """
+    ensure_checkpoint_dir(keys.sparkSession)
+    state = None
+    for at in range(0, KEY_CHARS, digits):
+        rows = keys
+        if state is not None:
+            open_ = state.where("need < n").select("stratum", "prefix", "need")
+            rows = keys.join(open_, "stratum").where(F.substring("ord", 1, at) == F.col("prefix"))
+        hist = rows.groupBy("stratum", F.substring("ord", at + 1, digits).alias("digit")).agg(
+            F.count(F.lit(1)).alias("n"), *([F.first("prefix").alias("prefix"), F.first("need").alias("need")] if state is not None else []))
+        whole = Window.partitionBy("stratum")
+        if state is None:
+            total = F.sum("n").over(whole)
+            hist = hist.withColumn("size", total).withColumn("prefix", F.lit(""))
+            hist = (hist.withColumn("need", quota(F.col("size")).cast("long")) if callable(quota)
+                    else hist.join(quota.select("stratum", F.col("quota").cast("long").alias("need")), "stratum"))
+        before = F.coalesce(F.sum("n").over(whole.orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        if state is None:  # an empty or a whole stratum needs no descent
+            hist = hist.withColumn("need", F.least(F.greatest("need", F.lit(0)), "size"))
+        steps = (hist.withColumn("before", before)
+                 .where((F.col("before") < F.col("need")) & (F.col("before") + F.col("n") >= F.col("need")))
+                 .select("stratum", F.concat("prefix", "digit").alias("prefix"), (F.col("need") - F.col("before")).alias("need"), "n"))
+        state = (steps if state is None else steps.unionByName(state.where("need = n"))).checkpoint()
+        if state.where("need < n").isEmpty():
+            break
+    return state.select("stratum", F.when(F.col("need") == F.col("n"), F.concat("prefix", F.lit(ABOVE))).otherwise(F.col("prefix")).alias("cut"))
+
+
+def exact_stratified_flag(df: DataFrame, stratum: str, quota: DataFrame | Callable[[Column], Column], order: Column, out: str,
+                          digits: int = 4) -> DataFrame:
     """Add boolean ``out``: the row is among the first ``quota`` rows of its
-    stratum by ``order`` (an md5 hex string); strata missing from ``quota``
-    take nothing. Exact, without a window over a whole stratum.
-
-    The first ``bucket_bits`` bits of ``order`` give a bucket; a histogram per
-    (stratum, bucket) is pre-aggregated map-side, so a stratum holding a third
-    of the rows costs one row per bucket. A running count over at most
-    2**bucket_bits buckets per stratum finds the boundary bucket. Rows below
-    it are taken whole; only the rows of the boundary bucket (about 2**-20 of
-    a stratum) are ranked in a window, ties by the columns ``tie``. Rows with a
-    null order key stay and get False. ``quota`` and the bounds have one row per
-    stratum; Spark broadcasts them if they are small.
+    stratum by ``order`` (an md5 hex string).
+
+    ``df`` is scanned twice: once for its (stratum, order) pairs, which are
+    checkpointed, and once to compare each row's order with its stratum's cut.
+    No row is ranked in a window, and the plan has no union. ``quota`` is a table
+    (stratum, quota) or a function of the stratum's size. Rows with a null
+    order, a null stratum or a stratum without quota get False. Rows with equal
+    order (a repeated id) are never torn apart: if all of them would exceed the
+    quota, none is taken.
     """
-    hex_chars = bucket_bits // 4
-    keyed = df.withColumns({"_ord": order,
-                            "_bucket": F.conv(F.substring(order, 1, hex_chars), 16, 10).cast("long")})
-    hist = keyed.where(F.col("_bucket").isNotNull()).groupBy(stratum, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    running = Window.partitionBy(stratum).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    bounds = (hist.join(quota, stratum)
-              .withColumn("_cum", F.sum("_n").over(running))
-              .where(F.col("_cum") - F.col("_n") < F.col("quota"))
-              .groupBy(stratum)
-              .agg(F.max("_bucket").alias("_edge"),
-                   F.max_by(F.col("quota") - (F.col("_cum") - F.col("_n")), F.col("_bucket")).alias("_need")))
-    marked = keyed.join(bounds, stratum, "left")
-    edge_rows = F.col("_bucket") == F.col("_edge")
-    plain = marked.where(~edge_rows | F.col("_edge").isNull() | F.col("_bucket").isNull()).withColumn(
-        out, F.coalesce(F.col("_bucket") < F.col("_edge"), F.lit(False)))
-    tie = [c for c in tie if c in df.columns]
-    in_edge = Window.partitionBy(stratum, "_bucket").orderBy("_ord", *tie)
-    edge = marked.where(edge_rows).withColumn(out, F.row_number().over(in_edge) <= F.col("_need"))
-    return plain.unionByName(edge).drop("_ord", "_bucket", "_edge", "_need")
+    keys = df.select(F.col(stratum).alias("stratum"), order.alias("ord")).where(F.col("ord").isNotNull() & F.col("stratum").isNotNull())
+    ensure_checkpoint_dir(df.sparkSession)
+    keys = keys.checkpoint()
+    if not callable(quota):
+        quota = quota.withColumnRenamed(stratum, "stratum")
+    cuts = order_cuts(keys, quota, digits).select(F.col("stratum").alias("_stratum"), F.col("cut").alias("_cut"))
+    return (df.withColumn("_ord", order).join(cuts, F.col(stratum) == F.col("_stratum"), "left")
+            .withColumn(out, F.coalesce(F.col("_ord") < F.col("_cut"), F.lit(False))).drop("_ord", "_stratum", "_cut"))

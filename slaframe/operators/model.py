@@ -1,8 +1,7 @@
 """Breach-risk model, evaluation and permutation importance.
 
 * The split is an exact stratified 80/20 split by a seeded md5 order, built
-  on ``exact_stratified_flag`` (histogram of hash buckets, no window over a
-  whole label class).
+  on ``exact_stratified_flag`` (radix descent to one cut a label class).
 * The classifier is MLlib's ``GBTClassifier`` inside a ``Pipeline``
   (StringIndexer + OneHotEncoder + VectorAssembler). It is distributed; its
   ``checkpointInterval`` cuts lineage through the session's checkpoint folder.
@@ -60,9 +59,7 @@ def standardize(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def stratified_split(df: DataFrame, label: str = LABEL, test_fraction: float = 0.2, seed: str = "42") -> DataFrame:
     """Add ``is_test``; per label class ceil(fraction * n) rows go to
     test, chosen by md5(ticket_id || seed)."""
-    quota = (df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-             .select(label, F.ceil(dbl(test_fraction) * F.col("_n")).cast("long").alias("quota")))
-    return exact_stratified_flag(df, label, quota, hash_order(F.col("ticket_id"), seed), "is_test")
+    return exact_stratified_flag(df, label, lambda n: F.ceil(dbl(test_fraction) * n), hash_order(F.col("ticket_id"), seed), "is_test")
 
 
 def gbt_pipeline(max_iter: int = 200, max_depth: int = 5, step_size: float = 0.1, subsample: float = 0.8,

@@ -27,7 +27,7 @@ def test_auc_of_one_class_is_null(spark):
 def test_null_order_keys_stay_unselected(spark):
     df = spark.range(1500).select(F.when(F.col("id") % 10 != 0, F.col("id")).alias("k"), (F.col("id") % 2).alias("s"))
     quota = spark.createDataFrame([(0, 100), (1, 100)], "s long, quota long")
-    out = exact_stratified_flag(df, "s", quota, hash_order(F.col("k")), "pick", tie=("k",))
+    out = exact_stratified_flag(df, "s", quota, hash_order(F.col("k")), "pick")
     assert out.count() == 1500
     assert out.where("pick").count() == 200
     assert out.where("k is null and pick").count() == 0

@@ -36,3 +36,12 @@ def test_lineitem_scan_is_pruned(spark):
 def test_no_python_evaluation(spark, name):
     p = plan(spark, name)
     assert "EvalPython" not in p and "PythonUDF" not in p
+
+
+@pytest.mark.parametrize("name", ["m04_stratified_split", "e15_dept_quota_sample"])
+def test_exact_selection_scans_its_table_once_more(spark, name):
+    """The keys' job scans the table once; the plan that returns the rows scans
+    it once and neither ranks rows nor unions."""
+    p = plan(spark, name)
+    assert p.count("orders.parquet") == 1
+    assert "Window" not in p and "Union" not in p

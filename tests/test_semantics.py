@@ -155,8 +155,8 @@ def test_exact_stratified_flag_matches_brute_force(spark):
     df = spark.createDataFrame([(str(i), ["a", "b", "c"][i % 3 if i < 2000 else 0]) for i in range(n)],
                                "ticket_id string, g string")
     quota = spark.createDataFrame([("a", 700), ("b", 10), ("c", 5000)], "g string, quota long")
-    # 4 bucket bits -> 16 buckets: boundary buckets hold many rows.
-    got = exact_stratified_flag(df, "g", quota, hash_order(F.col("ticket_id")), "take", bucket_bits=4)
+    # One hex digit a level: the buckets hold many rows, the descent goes deep.
+    got = exact_stratified_flag(df, "g", quota, hash_order(F.col("ticket_id")), "take", digits=1)
     pdf = df.withColumn("h", hash_order(F.col("ticket_id"))).toPandas()
     pdf = pdf.sort_values(["h", "ticket_id"])
     pdf["rn"] = pdf.groupby("g").cumcount() + 1
@@ -166,6 +166,21 @@ def test_exact_stratified_flag_matches_brute_force(spark):
     assert got.count() == n
 
 
+def test_exact_selection_with_all_keys_in_one_bucket(spark):
+    """Keys that share 28 digits, and a repeated id that would exceed the quota."""
+    from slaframe.functions.strata import exact_stratified_flag
+    df = spark.range(5000).select(F.col("id"), F.lit("a").alias("g"), F.concat(F.lit("0" * 28), F.lpad(F.hex("id"), 4, "0")).alias("o"))
+    quota = spark.createDataFrame([("a", 1234)], "g string, quota long")
+    got = exact_stratified_flag(df, "g", quota, F.lower("o"), "take")
+    assert sorted(r.id for r in got.where("take").collect()) == list(range(1234))
+    rows = spark.createDataFrame([("x" if i < 60 else str(i),) for i in range(100)], "k string").withColumn("g", F.lit(1))
+    got = exact_stratified_flag(rows, "g", lambda n: n * 0 + 50, F.md5("k"), "take")
+    assert got.where("take and k = 'x'").count() == 0 and got.where("take").count() <= 50
+    assert exact_stratified_flag(rows, "g", lambda n: n, F.md5("k"), "take").where("take").count() == 100
+    assert exact_stratified_flag(rows, "g", lambda n: n * 0, F.md5("k"), "take").where("take").count() == 0
+    assert exact_stratified_flag(rows.where("false"), "g", lambda n: n, F.md5("k"), "take").count() == 0
+
+
 def _auc_brute(scores, labels):
     s = pd.Series(scores)
     ranks = s.rank(method="average")
