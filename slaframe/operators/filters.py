@@ -60,6 +60,23 @@ def date_range_pred(date_from, date_to, ts: str = "created_at") -> Column:
     return pred
 
 
+def date_folder_pred(date_from, date_to, folder: str = "created_date") -> Column:
+    """F02 on a table stored in date folders: the range as bounds on the folder
+    column, which Spark answers from the folder names."""
+    pred = F.lit(True)
+    if date_from is not None:
+        pred = pred & (F.col(folder) >= F.lit(_day(date_from)).cast("date"))
+    if date_to is not None:
+        pred = pred & (F.col(folder) <= F.lit(_day(date_to)).cast("date"))
+    return pred
+
+
+def filter_dates(df: DataFrame, date_from, date_to, folder: str = "created_date") -> DataFrame:
+    """F02 of a table: by date folders too where it has them."""
+    pred = date_range_pred(date_from, date_to)
+    return df.where(pred & date_folder_pred(date_from, date_to, folder)) if folder in df.columns else df.where(pred)
+
+
 def severity_pred(min_severity: int) -> Column:
     """F03."""
     return F.col("severity") >= F.lit(min_severity)
@@ -132,8 +149,10 @@ def filter_predicate(spec: FilterSpec) -> Column:
     return pred & search_pred(spec.search)
 
 
-def apply_filters(df: DataFrame, spec: FilterSpec) -> DataFrame:
-    return df.where(filter_predicate(spec))
+def apply_filters(df: DataFrame, spec: FilterSpec, folder: str = "created_date") -> DataFrame:
+    """F12 of a table; only the date folders in the spec's range are read."""
+    df = df.where(filter_predicate(spec))
+    return df.where(date_folder_pred(spec.date_from, spec.date_to, folder)) if folder in df.columns else df
 
 
 def option_list(df: DataFrame, c: str) -> DataFrame:
@@ -161,11 +180,19 @@ def routing_options(df: DataFrame) -> DataFrame:
     return ministries.unionByName(depts).distinct().orderBy("kind", "value")
 
 
-def is_empty(df: DataFrame) -> bool:
-    """driver-side stop when a filter leaves nothing."""
-    return df.isEmpty()
-
-
 def with_display_names(df: DataFrame) -> DataFrame:
-    """F16: rename columns to their display labels."""
-    return df.withColumnsRenamed({c: dims.label_of(c) for c in df.columns})
+    """F16: rename columns to their display labels. Column name, label and help
+    text also go into the column's metadata, which Parquet keeps."""
+    return df.select(*[F.col(c).alias(dims.label_of(c), metadata={"column": c, "label": dims.label_of(c), "help": dims.help_of(c)})
+                       for c in df.columns])
+
+
+def column_help(df: DataFrame) -> DataFrame:
+    """F16: (column, label, help, filled) of a table with display names, read from
+    its schema; ``filled`` counts the values that are not null."""
+    about = [(f.name, f.metadata) for f in df.schema.fields]
+    counts = df.agg(*[F.count(F.col(f"`{name}`")).alias(f"c{i}") for i, (name, _) in enumerate(about)])
+    rows = F.array(*[F.struct(F.lit(m.get("column", name)).alias("column"), F.lit(m.get("label", name)).alias("label"),
+                              F.lit(m.get("help", "")).alias("help"), F.col(f"c{i}").alias("filled"))
+                     for i, (name, m) in enumerate(about)])
+    return counts.select(F.inline(rows))

@@ -4,17 +4,18 @@ The queue is a top-k (``orderBy(...).limit(k)`` plans as
 TakeOrderedAndProject: every task keeps its own k best rows, the driver merges
 k x #tasks rows), so it never sorts the whole table. Operator edits arrive as a
 DataFrame keyed by ticket id; it is at most queue-sized, which bounds the
-broadcast. The assignment log is an append-only parquet table in the shared
-checkpoint folder.
+broadcast. The assignment log is a parquet table with a folder a batch.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import dims
 from ..functions.exprs import as_of_ts, priority_formula
+from ..session import ensure_checkpoint_dir, path_kind
 
 QUEUE_COLUMNS = ["select", "escalate", "route_dept", "route_ministry", "ticket_id", "created_at", "district",
                  "ward", "dept", "category", "severity", "vulnerable_population", "pred_sla_breach_prob",
@@ -118,18 +119,37 @@ def fixture_assigned_at(as_of: str = dims.AS_OF) -> Column:
 
 def assignments_from(df: DataFrame, w: dict[str, float] | None = None, as_of: str = dims.AS_OF) -> DataFrame:
     """The fixture assignment log: queue -> edits -> selection -> payload."""
-    q = action_queue(df, w)
-    sel = select_rows(q, fixture_edits(q))
-    return build_payload(sel, fixture_assigned_at(as_of))
+    return build_payload(fixture_selection(df, w), fixture_assigned_at(as_of))
 
 
-def append_assignments(payload: DataFrame, path: str) -> None:
-    """Q06: append a payload batch to the log table."""
-    payload.select(*[f.name for f in dims.ASSIGNMENT_SCHEMA.fields]).write.mode("append").parquet(path)
+def fixture_selection(df: DataFrame, w: dict[str, float] | None = None) -> DataFrame:
+    """The selected rows of the queue under the fixture edits. The queue (at most
+    ``QUEUE_SIZE`` rows) is checkpointed, as rows and edits both come from it."""
+    ensure_checkpoint_dir(df.sparkSession)
+    q = action_queue(df, w).checkpoint()
+    return select_rows(q, fixture_edits(q))
+
+
+def append_assignments(payload: DataFrame, path: str, batch: int = 0) -> None:
+    """Q06: add a payload batch to the log at ``path``. The log has a folder a
+    batch; a batch that is added again (after a failure) replaces its folder
+    and is no second copy."""
+    rows = payload.select(*[f.name for f in dims.ASSIGNMENT_SCHEMA.fields]).withColumn("batch", F.lit(batch).cast("long"))
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}/log"))
+
+
+def _cleared(spark: SparkSession, path: str) -> int:
+    if path_kind(spark, f"{path}/cleared") is None:
+        return -1
+    return spark.read.schema("upto long").parquet(f"{path}/cleared").agg(F.max("upto")).first()[0]
 
 
 def read_assignments(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(dims.ASSIGNMENT_SCHEMA).parquet(path)
+    """The log: all batches behind the last clear."""
+    if path_kind(spark, f"{path}/log") is None:
+        return spark.createDataFrame([], dims.ASSIGNMENT_SCHEMA)
+    log = spark.read.schema(T.StructType([*dims.ASSIGNMENT_SCHEMA.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/log")
+    return log.where(F.col("batch") > _cleared(spark, path)).drop("batch")
 
 
 def assignment_log(log: DataFrame, k: int = 20) -> DataFrame:
@@ -140,6 +160,10 @@ def assignment_log(log: DataFrame, k: int = 20) -> DataFrame:
 
 
 def clear_assignments(spark: SparkSession, path: str) -> DataFrame:
-    """Q08: replace the log with an empty table of the same schema."""
-    spark.createDataFrame([], dims.ASSIGNMENT_SCHEMA).write.mode("overwrite").parquet(path)
+    """Q08: empty the log. A clear is one added row, the number of the last batch it
+    covers; the batches' files stay, so a clear that dies half-way changes
+    nothing. Batches numbered above it count again."""
+    if path_kind(spark, f"{path}/log"):
+        last = spark.read.parquet(f"{path}/log").agg(F.max(F.col("batch").cast("long")).alias("upto"))
+        last.where("upto is not null").write.mode("append").parquet(f"{path}/cleared")
     return read_assignments(spark, path)

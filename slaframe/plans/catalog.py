@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions.exprs import risk_band
 from ..operators import checks, enrich, filters, impact, kpis, monitor, queue, urgency
+from ..session import fresh_dir
+from ..sources import files
 from ..sources.tickets import stored_tickets as tickets
+from ..sources.tickets import ticket_folders
 from .sql import AS_OF_SQL, age_days, case_map, d, hours_since, round_even, s, str_list, with_tickets
 
 
@@ -324,7 +327,8 @@ def _filtered(spark, sf, pred):
     f"SELECT {_FILTER_COLS} FROM tickets WHERE created_at >= TIMESTAMP '2025-09-01' AND "
     "created_at < TIMESTAMP '2025-10-16'"))
 def f02_filter_dates(spark, sf):
-    return _filtered(spark, sf, filters.date_range_pred("2025-09-01", "2025-10-15"))
+    """On the table stored in date folders: folders outside the range are not read."""
+    return filters.filter_dates(ticket_folders(spark, sf), "2025-09-01", "2025-10-15").select(*_FILTER_COLS.split(", "))
 
 
 @register("f03_filter_severity", with_tickets(f"SELECT {_FILTER_COLS} FROM tickets WHERE severity >= 3"))
@@ -394,7 +398,7 @@ _SPEC = filters.FilterSpec(date_from="2025-08-01", date_to="2025-11-30", severit
     f"AND dept IN ({', '.join(map(s, filters.MONSOON_DEPTS))}) AND severity >= 2 AND ward IN "
     f"({', '.join(map(s, _SPEC.wards))})"))
 def f12_apply_filters(spark, sf):
-    return _filtered(spark, sf, filters.filter_predicate(_SPEC))
+    return filters.apply_filters(ticket_folders(spark, sf), _SPEC).select(*_FILTER_COLS.split(", "))
 
 
 @register("f13_option_lists", with_tickets(
@@ -432,6 +436,20 @@ def f16_labels(spark, sf):
     return filters.with_display_names(t)
 
 
+_HELP_COLUMNS = ["ticket_id", *dims.GLOSSARY]
+
+
+@register("f16_column_help", with_tickets(" UNION ALL ".join(
+    f"SELECT {s(c)} AS \"column\", {s(dims.label_of(c))} AS label, {s(dims.help_of(c))} AS help, count({c}) AS filled FROM _shown"
+    for c in _HELP_COLUMNS), f"_shown AS (SELECT *, CASE WHEN severity > 1 THEN priority_score END AS priority_dynamic FROM tickets)"))
+def f16_column_help(spark, sf):
+    """Labels and help texts from the schema of a table that was written and read back."""
+    path = fresh_dir(spark, "labels")
+    shown = T(spark, sf).withColumn("priority_dynamic", F.when(F.col("severity") > 1, F.col("priority_score")))
+    filters.with_display_names(shown.select(*_HELP_COLUMNS)).write.parquet(path)
+    return filters.column_help(spark.read.parquet(path))
+
+
 # ---------------------------------------------------------------- urgency
 
 @register("u01_u03_urgency", with_tickets(
@@ -795,8 +813,7 @@ _SELECTED_CTE = (
     f"SELECT \"select\", escalate, route_dept, route_ministry, ticket_id, dept, round({_P}, 6) AS {_P}, "
     "priority_dynamic FROM _sel", _QUEUE_CTE, _SELECTED_CTE))
 def q04_select_rows(spark, sf):
-    q = queue.action_queue(T(spark, sf))
-    sel = queue.select_rows(q, queue.fixture_edits(q))
+    sel = queue.fixture_selection(T(spark, sf))
     return sel.select("select", "escalate", "route_dept", "route_ministry", "ticket_id", "dept",
                       r6(_P).alias(_P), "priority_dynamic")
 
@@ -825,7 +842,6 @@ def q05_build_payload(spark, sf):
 
 
 def _log_path(spark, sf) -> str:
-    from ..session import fresh_dir
     path = fresh_dir(spark, "assignments")
     queue.append_assignments(queue.assignments_from(T(spark, sf)), path)
     return path
@@ -833,7 +849,10 @@ def _log_path(spark, sf) -> str:
 
 @register("q06_append_assignments", with_tickets(_FLAT_SQL, _QUEUE_CTE, _SELECTED_CTE, _PAYLOAD_CTE))
 def q06_append_assignments(spark, sf):
-    return _flat_payload(queue.read_assignments(spark, _log_path(spark, sf)))
+    """The same batch is added twice, as after a failure."""
+    path = _log_path(spark, sf)
+    queue.append_assignments(queue.read_assignments(spark, path).checkpoint(), path)
+    return _flat_payload(queue.read_assignments(spark, path))
 
 
 @register("q07_assignment_log", with_tickets(
@@ -845,19 +864,35 @@ def q07_assignment_log(spark, sf):
                                             "assigned_at", "total_assigned")
 
 
-@register("q08_clear_assignments")
+@register("q08_clear_assignments", with_tickets(
+    "SELECT (SELECT count(*) FROM _log) AS rows_before, CAST(0 AS BIGINT) AS rows_after, "
+    "(SELECT count(*) FROM _log WHERE severity >= 2) AS rows_added", _QUEUE_CTE, _SELECTED_CTE, _PAYLOAD_CTE))
 def q08_clear_assignments(spark, sf):
+    """Rows of the log before a clear, after it, and after a further batch."""
     path = _log_path(spark, sf)
-    return queue.clear_assignments(spark, path)
+    log = queue.read_assignments(spark, path).checkpoint()
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    before = count(log, "rows_before")
+    after = count(queue.clear_assignments(spark, path), "rows_after").checkpoint()
+    queue.append_assignments(log.where("metadata.severity >= 2"), path, batch=1)
+    added = count(queue.read_assignments(spark, path), "rows_added")
+    return before.select("rows_before", after.scalar().alias("rows_after"), added.scalar().alias("rows_added"))
+
+
+_NOTE_SQL = "district || ', \"' || ward || '\"' || chr(13) || chr(10) || category || ','"
 
 
 @register("s07_export_selection", with_tickets(
     f"SELECT escalate, route_dept, route_ministry, ticket_id, created_at, district, ward, dept, category, severity, "
-    f"vulnerable_population, round({_P}, 6) AS {_P}, priority_dynamic, historical_backlog FROM _sel",
+    f"vulnerable_population, round({_P}, 6) AS {_P}, priority_dynamic, historical_backlog, {_NOTE_SQL} AS note FROM _sel",
     _QUEUE_CTE, _SELECTED_CTE))
 def s07_export_selection(spark, sf):
-    q = queue.action_queue(T(spark, sf))
-    return queue.export_selection(queue.select_rows(q, queue.fixture_edits(q))).withColumn(_P, r6(_P))
+    """The selection as CSV, read back; ``note`` holds commas, quotes and a line end."""
+    out = queue.export_selection(queue.fixture_selection(T(spark, sf)))
+    out = out.withColumn("note", F.concat("district", F.lit(', "'), "ward", F.lit('"\r\n'), "category", F.lit(",")))
+    path = fresh_dir(spark, "selection")
+    files.write_csv(out, path)
+    return files.read_csv(spark, path, out.schema).withColumn(_P, r6(_P))
 
 
 # ---------------------------------------------------------------- monitoring

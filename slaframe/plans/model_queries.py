@@ -16,7 +16,8 @@ from ..session import ensure_checkpoint_dir, fresh_dir
 from ..sources import files
 from ..sources.tickets import stored_tickets as T
 from .catalog import r6, register
-from .sql import d, round_even, with_tickets
+from .pipeline import run_pipeline
+from .sql import d, hours_since, round_even, with_tickets
 
 FIT_ROWS_A_TASK = 50_000
 _P = "pred_sla_breach_prob"
@@ -245,3 +246,24 @@ def s08_run_summary(spark, sf):
     metrics = M.auc(scored, _P).select("auc", M.brier(scored, _P).select("brier").scalar().alias("brier"))
     ready = checks.readiness(M.score(model, T(spark, sf)))
     return files.run_summary(metrics, ready, {"data": sf})
+
+
+@register("s08_run_pipeline", with_tickets(
+    "SELECT count(*) AS tickets, CAST(sum(sla_breach) AS BIGINT) AS breaches, round(avg(sla_breach), 6) AS breach_rate, 'PASS' AS verdict, "
+    "count(*) AS predicted, count(DISTINCT ticket_id) AS predictions, CAST(16 AS BIGINT) AS features, TRUE AS model_fits, "
+    f"round(count_if({hours_since('created_at')} > 72) * 100.0::DOUBLE / count(*), 6) AS already_breached_pct FROM tickets"))
+def s08_run_pipeline(spark, sf):
+    """The one-call run; what its JSON file says beside the files that it wrote."""
+    out = fresh_dir(spark, "run")
+    run_pipeline(T(spark, sf), out, fit=lambda train: _fitted(spark, sf))
+    told = spark.read.text(f"{out}/summary").select(F.from_json(
+        "value", "tickets long, breaches long, breach_rate double, data string, verdict string, predicted long, auc double, brier double, "
+                 "predictions string, feature_importance string, model string, dashboard_readiness struct<already_breached_pct:double>").alias("j"))
+    paths = told.select("j.*").first()
+    wrote = files.read_back(spark, paths.predictions).agg(F.count_distinct("ticket_id"))
+    features = files.read_importance(spark, paths.feature_importance).agg(F.count("importance_mean"))
+    files.load_model(paths.model)
+    return told.select("j.tickets", "j.breaches", r6(F.col("j.breach_rate")).alias("breach_rate"), "j.verdict", "j.predicted",
+                       wrote.scalar().alias("predictions"), features.scalar().alias("features"),
+                       ((F.col("j.auc") > 0.8) & (F.col("j.brier") < 0.2)).alias("model_fits"),
+                       r6(F.col("j.dashboard_readiness.already_breached_pct")).alias("already_breached_pct"))

@@ -46,6 +46,16 @@ def round_even(x: str, n: int) -> str:
     return f"round_even({x}, {n})"
 
 
+_PRESS = case_map("district", dims.DISTRICT_PRESSURE)
+# E07 as SQL: the generator's breach propensity.
+PROPENSITY_SQL = (
+    f"least(greatest({d(1)} / ({d(1)} + exp(-({d(-1.5)} + {d(0.8)} * severity + "
+    f"{d(1.2)} * vulnerable_population + {d(0.8)} * (-citizen_sentiment) + {d(0.01)} * historical_backlog + "
+    f"{d(1)} * ({d(1)} - resource_availability) + {d(0.005)} * weather_rain_mm + {d(0.006)} * traffic_index + "
+    f"{d(0.6)} * {_PRESS} + {d(0.5)} * festival_season + {d(0.4)} * ({d(1)} - is_business_hours) + "
+    f"{d(0.5)} * is_weekend))), {d(0.001)}), {d(0.999)})")
+
+
 def _ticket_ctes() -> str:
     cat_case = "CASE dept " + " ".join(
         f"WHEN {s(dep)} THEN {str_list(cs)}[k % 3 + 1]" for dep, cs in dims.CATEGORIES.items()) + " END"

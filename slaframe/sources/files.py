@@ -8,8 +8,6 @@ filters prune whole folders.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,5 +103,18 @@ def run_summary(metrics: DataFrame, readiness: DataFrame, paths: dict[str, str])
     return spark.range(1).select(F.to_json(doc).alias("summary"))
 
 
-def parse_summary(text: str) -> dict:
-    return json.loads(text)
+_EXACT_CSV = {"header": True, "quote": '"', "escape": '"', "nullValue": "", "emptyValue": '""', "ignoreLeadingWhiteSpace": False,
+              "ignoreTrailingWhiteSpace": False, "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """A table as CSV that ``read_csv`` gives back as it was: every field with
+    a comma, quote or line end is quoted, quotes are doubled, empty texts
+    are told from nulls, timestamps keep their microseconds."""
+    df.write.mode("overwrite").options(**_EXACT_CSV, quoteAll=False).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Read what ``write_csv`` wrote. Fields may hold line ends, so a file is
+    read by one task; the writer makes one file a task."""
+    return spark.read.schema(schema).options(**_EXACT_CSV, multiLine=True).csv(path)

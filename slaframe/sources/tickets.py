@@ -150,15 +150,11 @@ MATERIALIZE_CONF = "spark.slaframe.materializeTickets"
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
-def stored_tickets(spark: SparkSession, sf_dir: str, as_of: str = dims.AS_OF) -> DataFrame:
-    """The derived ticket table, written once per session as parquet
-    partitioned by creation date under the shared checkpoint folder, then
-    read back (the production pattern: derive once, query many times).
-
-    With ``spark.slaframe.materializeTickets`` unset or false this is the
-    plain derivation."""
-    if spark.conf.get(MATERIALIZE_CONF, "false").lower() != "true":
-        return tickets(spark, sf_dir, as_of)
+def ticket_folders(spark: SparkSession, sf_dir: str, as_of: str = dims.AS_OF) -> DataFrame:
+    """The derived ticket table with ``created_date``, its folder column: written
+    once per session as parquet partitioned by creation date under the shared
+    checkpoint folder, then read back (the production pattern: derive once,
+    query many times)."""
     from ..session import fresh_dir
     key = (spark.sparkContext.applicationId, sf_dir, as_of)
     if key not in _STORED:
@@ -166,4 +162,12 @@ def stored_tickets(spark: SparkSession, sf_dir: str, as_of: str = dims.AS_OF) ->
         (tickets(spark, sf_dir, as_of).withColumn("created_date", F.to_date("created_at"))
          .hint("rebalance", "created_date").write.partitionBy("created_date").parquet(path))
         _STORED[key] = path
-    return spark.read.parquet(_STORED[key]).select(*dims.PREDICTION_COLUMNS)
+    return spark.read.parquet(_STORED[key]).select(*dims.PREDICTION_COLUMNS, "created_date")
+
+
+def stored_tickets(spark: SparkSession, sf_dir: str, as_of: str = dims.AS_OF) -> DataFrame:
+    """The ticket table: from ``ticket_folders`` if ``spark.slaframe.materializeTickets``
+    is true, else the plain derivation."""
+    if spark.conf.get(MATERIALIZE_CONF, "false").lower() != "true":
+        return tickets(spark, sf_dir, as_of)
+    return ticket_folders(spark, sf_dir, as_of).drop("created_date")
