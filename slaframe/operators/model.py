@@ -16,6 +16,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Bucketizer, OneHotEncoder, StringIndexer, VectorAssembler
@@ -34,7 +36,7 @@ NUM_COLS = ["severity", "citizen_sentiment", "vulnerable_population", "historica
 FEATURES = CAT_COLS + NUM_COLS  # escalation columns are left out: they leak the label
 LABEL = "sla_breach"
 AUC_BUCKETS = 1024
-PERMUTATION_BITS = 12  # leading hash bits that deal rows into rank buckets
+PERMUTATION_DIGITS = 3  # leading hex digits that deal rows into rank buckets
 
 
 def features(df: DataFrame, keep: tuple[str, ...] = ("ticket_id", LABEL)) -> DataFrame:
@@ -62,20 +64,26 @@ def stratified_split(df: DataFrame, label: str = LABEL, test_fraction: float = 0
     return exact_stratified_flag(df, label, lambda n: F.ceil(dbl(test_fraction) * n), hash_order(F.col("ticket_id"), seed), "is_test")
 
 
-def gbt_pipeline(max_iter: int = 200, max_depth: int = 5, step_size: float = 0.1, subsample: float = 0.8,
-                 min_instances: int = 10, seed: int = 42, label: str = LABEL) -> Pipeline:
-    """M02 + M05: one-hot categoricals (unseen -> all zeros), numerics as is
-    (tree splits do not need scaling), gradient-boosted trees."""
-    idx = [StringIndexer(inputCols=CAT_COLS, outputCols=[f"{c}_idx" for c in CAT_COLS], handleInvalid="keep",
-                         stringOrderType="frequencyDesc")]  # one pass for all five columns
+def encoding_stages() -> list:
+    """Categories indexed by frequency in the training rows (ties by name),
+    then one-hot with a place for unseen ones; one pass for all five columns."""
+    idx = StringIndexer(inputCols=CAT_COLS, outputCols=[f"{c}_idx" for c in CAT_COLS], handleInvalid="keep",
+                        stringOrderType="frequencyDesc")
     ohe = OneHotEncoder(inputCols=[f"{c}_idx" for c in CAT_COLS], outputCols=[f"{c}_ohe" for c in CAT_COLS],
                         dropLast=True, handleInvalid="keep")
     asm = VectorAssembler(inputCols=[f"{c}_ohe" for c in CAT_COLS] + NUM_COLS, outputCol="features",
                           handleInvalid="keep")
+    return [idx, ohe, asm]
+
+
+def gbt_pipeline(max_iter: int = 200, max_depth: int = 5, step_size: float = 0.1, subsample: float = 0.8,
+                 min_instances: int = 10, seed: int = 42, label: str = LABEL) -> Pipeline:
+    """M02 + M05: one-hot categoricals (unseen -> all zeros), numerics as is
+    (tree splits do not need scaling), gradient-boosted trees."""
     gbt = GBTClassifier(labelCol=label, featuresCol="features", maxIter=max_iter, maxDepth=max_depth,
                         stepSize=step_size, subsamplingRate=subsample, minInstancesPerNode=min_instances,
                         seed=seed, checkpointInterval=10)
-    return Pipeline(stages=[*idx, ohe, asm, gbt])
+    return Pipeline(stages=[*encoding_stages(), gbt])
 
 
 def train_gbt(train: DataFrame, **params) -> PipelineModel:
@@ -149,12 +157,12 @@ def risk_calibration(df: DataFrame, score_col: str, label: str = LABEL) -> DataF
                   F.coalesce(F.avg(F.when(p < 0.3, F.col(label))), dbl(0.0)).alias("low_risk_breach_rate"))
 
 
-def _ranked(rows: DataFrame, salt: int) -> DataFrame:
+def _ranked(rows: DataFrame, salt: str) -> DataFrame:
     """Add ``_rank``: the place (from 1) of each row in the order of a salted
-    hash of its id. The leading hash bits give a bucket; a place is the rows of
-    earlier buckets (at most 2**PERMUTATION_BITS sums) plus the place inside."""
-    keyed = rows.withColumn("_h", F.xxhash64(F.lit(salt), "ticket_id"))
-    keyed = keyed.withColumn("_bk", F.shiftright("_h", 64 - PERMUTATION_BITS))
+    md5 of its id. The leading hex digits give a bucket; a place is the rows of
+    earlier buckets (at most 16**PERMUTATION_DIGITS sums) plus the place inside."""
+    keyed = rows.withColumn("_h", hash_order(F.col("ticket_id"), salt))
+    keyed = keyed.withColumn("_bk", F.substring("_h", 1, PERMUTATION_DIGITS))
     before = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (keyed.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n"))
                .select("_bk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
@@ -165,21 +173,25 @@ def _ranked(rows: DataFrame, salt: int) -> DataFrame:
 def _pairing(test: DataFrame, repeats: int, seed: int) -> DataFrame:
     """Random permutations of the whole test set, one a repeat: the row at
     some place of one hash order is paired with the row at the same place of
-    another. The scheme is the same at every size."""
-    left = _ranked(test, seed * 1000 - 1)
+    another. The scheme is the same at every size; the first order is stored."""
+    left = _ranked(test, f"left{seed}").checkpoint()
     out = None
     for r in range(repeats):
-        right = _ranked(test, seed * 1000 + r).select("_rank", *[F.col(c).alias(f"_p_{c}") for c in FEATURES])
+        right = _ranked(test, f"right{seed}-{r}").select("_rank", *[F.col(c).alias(f"_p_{c}") for c in FEATURES])
         part = left.join(right, "_rank").drop("_rank").withColumn("repeat", F.lit(r))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def permutation_importance(model: PipelineModel, test: DataFrame, repeats: int = 5, seed: int = 42) -> DataFrame:
+def permutation_importance(model: PipelineModel | Callable[[DataFrame], DataFrame], test: DataFrame, repeats: int = 5,
+                           seed: int = 42) -> DataFrame:
     """AUC drop when one feature's values are shuffled across test rows;
-    mean and population std over ``repeats``. All 16 x repeats variants are
+    mean and population std over ``repeats``. ``model`` is a fitted pipeline or a
+    function that adds ``pred_sla_breach_prob``. All 16 x repeats variants are
     scored and evaluated in one pass (exploded rows + grouped AUC)."""
-    base = auc(score(model, test.select("ticket_id", LABEL, *FEATURES)), "pred_sla_breach_prob")
+    ensure_checkpoint_dir(test.sparkSession)
+    scorer = model if callable(model) else lambda df: score(model, df)
+    base = auc(scorer(test.select("ticket_id", LABEL, *FEATURES)), "pred_sla_breach_prob")
     paired = _pairing(test.select("ticket_id", LABEL, *FEATURES), repeats, seed)
     variants = F.array(*[
         F.struct(F.lit(f).alias("feature"),
@@ -190,8 +202,7 @@ def permutation_importance(model: PipelineModel, test: DataFrame, repeats: int =
     # Scored variants are reduced to label counts per distinct score before
     # the shuffle; only those counts are checkpointed (the shared folder), so
     # the grouped AUC does not re-run pairing and scoring.
-    scored = score(model, exploded)
-    counts = score_counts(scored, "pred_sla_breach_prob", by=["feature", "repeat"]).checkpoint()
+    counts = score_counts(scorer(exploded), "pred_sla_breach_prob", by=["feature", "repeat"]).checkpoint()
     per = auc_from_counts(counts, "pred_sla_breach_prob", by=["feature", "repeat"])
     drops = per.select("feature", "repeat", (base.select("auc").scalar() - F.col("auc")).alias("drop"))
     return drops.groupBy("feature").agg(F.avg("drop").alias("importance_mean"),

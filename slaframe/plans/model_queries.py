@@ -7,17 +7,19 @@ into partitions of about ``FIT_ROWS_A_TASK`` rows.
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.exprs import priority_formula
-from ..operators import checks, model as M
+from ..operators import checks, enrich, model as M
 from ..session import ensure_checkpoint_dir, fresh_dir
 from ..sources import files
 from ..sources.tickets import stored_tickets as T
 from .catalog import r6, register
 from .pipeline import run_pipeline
-from .sql import d, hours_since, round_even, with_tickets
+from .sql import PROPENSITY_SQL, d, hours_since, round_even, with_tickets
 
 FIT_ROWS_A_TASK = 50_000
 _P = "pred_sla_breach_prob"
@@ -134,16 +136,94 @@ def m14_baseline_priority(spark, sf):
 
 # ------------------------------------------------------------- rows-only (ML)
 
-@register("m02_one_hot")
+_LEVELS_SQL = " + ".join(f"(SELECT count(DISTINCT {c}) FROM _split WHERE NOT is_test) + 1" for c in M.CAT_COLS)
+
+
+@register("m02_one_hot", with_tickets(
+    f"SELECT ticket_id, CAST({_LEVELS_SQL} + {len(M.NUM_COLS)} AS INTEGER) AS width, CAST(place AS INTEGER) AS dept_index, "
+    "array_to_string(list_transform(range((SELECT count(*) + 1 FROM _dept)), lambda i: CASE WHEN i = place THEN '1' ELSE '0' END), '') "
+    "AS dept_one_hot FROM tickets JOIN _dept USING (dept)", _SPLIT_CTE,
+    "_dept AS (SELECT dept, row_number() OVER (ORDER BY count(*) DESC, dept) - 1 AS place FROM _split WHERE NOT is_test GROUP BY dept)"))
 def m02_one_hot(spark, sf):
-    from pyspark.ml.functions import vector_to_array
-    model = _fitted(spark, sf)
-    prep = model.stages[:-1]
-    out = M.features(T(spark, sf))
-    for stage in prep:
-        out = stage.transform(out)
-    return out.select("ticket_id", F.size(vector_to_array("features")).alias("width"),
-                      vector_to_array("dept_ohe").alias("dept_one_hot"))
+    """Encoders fitted on the training rows, applied to all tickets."""
+    train = M.features(_split_stored(spark, sf).where(~F.col("is_test")))
+    out = Pipeline(stages=M.encoding_stages()).fit(train).transform(M.features(T(spark, sf)))
+    digits = F.transform(vector_to_array("dept_ohe"), lambda x: x.cast("int").cast("string"))
+    return out.select("ticket_id", F.size(vector_to_array("features")).alias("width"), F.col("dept_idx").cast("int").alias("dept_index"),
+                      F.array_join(digits, "").alias("dept_one_hot"))
+
+
+# Importance of the features for the breach propensity (E07). The scores are rounded to 9
+# digits, so that one-ulp differences of ``exp`` between engines cannot split ties.
+REPEATS = 3
+
+
+def _variant_sql(f: str) -> str:
+    cols = ", ".join(f"r.{c} AS {c}" if c == f else f"l.{c} AS {c}" for c in M.FEATURES)
+    return f"SELECT '{f}' AS feature, r.repeat, l.sla_breach, {cols} FROM _left l JOIN _right r ON l.place = r.place"
+
+
+def _auc_sql(source: str, by: str = "") -> str:
+    keys = f"{by}, " if by else ""
+    part = f"PARTITION BY {by} " if by else ""
+    return (f"SELECT {keys}sum(pos * (below + 0.5::DOUBLE * neg)) / (sum(pos) * sum(neg)) AS auc FROM (SELECT {keys}pos, neg, "
+            f"coalesce(sum(neg) OVER ({part}ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM "
+            f"(SELECT {keys}round({PROPENSITY_SQL}, 9) AS p, sum(sla_breach) AS pos, sum(1 - sla_breach) AS neg FROM {source} "
+            f"GROUP BY {keys}p)) {'GROUP BY ' + by if by else ''}")
+
+
+_IMPORTANCE_CTES = (
+    _SPLIT_CTE,
+    "_left AS (SELECT *, row_number() OVER (ORDER BY md5(ticket_id || 'left42'), ticket_id) AS place FROM _split WHERE is_test)",
+    f"_right AS (SELECT *, row_number() OVER (PARTITION BY repeat ORDER BY md5(ticket_id || 'right42-' || repeat), ticket_id) AS place "
+    f"FROM _split, (SELECT unnest(range({REPEATS})) AS repeat) WHERE is_test)",
+    "_variants AS (" + " UNION ALL ".join(_variant_sql(f) for f in M.FEATURES) + ")",
+    f"_base AS ({_auc_sql('(SELECT * FROM _split WHERE is_test)')})",
+    f"_aucs AS ({_auc_sql('_variants', 'feature, repeat')})",
+    "_importance AS (SELECT feature, round(avg((SELECT auc FROM _base) - auc), 9) + 0.0::DOUBLE AS importance_mean, "
+    "round(stddev_pop((SELECT auc FROM _base) - auc), 9) + 0.0::DOUBLE AS importance_std FROM _aucs GROUP BY feature)",
+)
+
+
+def _propensity(df):
+    return enrich.breach_propensity(df, out=_P).withColumn(_P, F.round(_P, 9))
+
+
+def _score_importance(spark, sf):
+    def build():
+        got = M.permutation_importance(_propensity, _test(spark, sf), repeats=REPEATS)
+        return got.select("feature", *[(F.round(c, 9) + F.lit(0.0)).alias(c) for c in ("importance_mean", "importance_std")])
+    return _checkpointed(spark, sf, "score-importance", build)
+
+
+@register("m12_score_importance", with_tickets("SELECT * FROM _importance", *_IMPORTANCE_CTES))
+def m12_score_importance(spark, sf):
+    return _score_importance(spark, sf)
+
+
+@register("m13_score_top_features", with_tickets(
+    "SELECT * FROM _importance ORDER BY importance_mean DESC, feature LIMIT 10", *_IMPORTANCE_CTES))
+def m13_score_top_features(spark, sf):
+    return M.top_features(_score_importance(spark, sf), 10)
+
+
+_COEF_SQL = ", ".join(f"('{f}', {d(c)})" for f, c in dims.LOGIT_COEFFICIENTS.items())
+
+
+@register("v05_score_consistency", with_tickets(
+    "SELECT *, CASE WHEN issues = 0 THEN 'PASS' ELSE 'WARNING' END AS overall FROM (SELECT *, CAST(sum(CASE WHEN status = 'FAIL' THEN 1 ELSE 0 END) OVER () AS BIGINT) AS issues FROM ("
+    "SELECT feature, importance_mean, rank, coefficient, CASE WHEN rank <= 7 THEN 'PASS' ELSE 'FAIL' END AS status FROM (SELECT *, "
+    "CAST(row_number() OVER (ORDER BY importance_mean DESC, feature) AS INTEGER) AS rank FROM _importance) JOIN "
+    f"(VALUES {_COEF_SQL}) AS c(feature, coefficient) USING (feature) WHERE coefficient >= {d(0.5)}))", *_IMPORTANCE_CTES))
+def v05_score_consistency(spark, sf):
+    return checks.coef_consistency(_score_importance(spark, sf))
+
+
+@register("s05_score_importance", with_tickets("SELECT * FROM _importance", *_IMPORTANCE_CTES))
+def s05_score_importance(spark, sf):
+    path = fresh_dir(spark, "importance")
+    files.write_importance(_score_importance(spark, sf), path)
+    return files.read_importance(spark, path)
 
 
 @register("m05_train_gbt")

@@ -117,4 +117,4 @@ def write_csv(df: DataFrame, path: str) -> None:
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Read what ``write_csv`` wrote. Fields may hold line ends, so a file is
     read by one task; the writer makes one file a task."""
-    return spark.read.schema(schema).options(**_EXACT_CSV, multiLine=True).csv(path)
+    return spark.read.schema(schema).options(**_EXACT_CSV | {"emptyValue": ""}, multiLine=True).csv(path)
