@@ -309,6 +309,7 @@ def _sentence_keys(keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _block(ids: pa.Array, held: pa.Array, texts: pa.Array, number: int) -> pa.RecordBatch:
+    texts = pa.concat_arrays([texts, pa.array([], texts.type)])  # bytes from 0 on: ascii_lower needs that
     split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     of = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())
     flat = split.flatten()
