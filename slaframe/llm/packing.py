@@ -5,9 +5,8 @@ tokenizer, so texts are split at ASCII white space by Arrow, and every distinct
 chunk of a block of texts is encoded once by the ``tokenizers`` library. ASCII
 chunks are further split into the tokenizer's own pre-tokens, lower-cased as its
 normalizer does; new pre-tokens are encoded many at a time, joined by spaces, and
-told apart by the tokens that end a word. Chunks with the separators U+001C to
-U+001F, which Python and the library class differently, go to the library as they
-are. Only (id, piece, start, length, crc) leaves the task.
+told apart by the tokens that end a word. Other chunks, with letters beyond ASCII or
+control characters, go to the library as they are. Only (id, piece, start, length, crc) leaves the task.
 
 Packing deals pieces by hash into groups of about ``GROUP`` pieces, as many
 groups as the count asks for. Inside a group, pieces go by falling size to the
@@ -51,14 +50,15 @@ GROUP = 8192
 FULL = 0.99
 RESOURCES = ["tokens", "documents", "attention"]
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-CACHE = 400_000   # distinct pre-tokens and other chunks that a task keeps
+CACHE_BYTES = 64 << 20  # of pre-tokens and other chunks that a worker keeps, also from task to task
+ENTRY_BYTES = 210       # what an entry takes besides its key
 STEP = 20_000     # chunks handled at once
 JOINED = 500      # pre-tokens encoded in one call
 BLOCK_BYTES = 8 << 20  # texts encoded at once inside a task
-_ODD = re.compile("[^\x00-\x1b\x20-\x7f]")
+_TAIL = r"([a-z0-9])([!-&(-/:-@\[-`{-~]+)([\x09-\x0d\x20]|$)"
 # The tokenizer's pre-tokens, for lower-case ASCII.
 _PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-_CACHES: dict[str, dict[str, bytes]] = {}
+_CACHES: dict[str, _Cache] = {}
 _TOKENIZERS: dict[str, tuple[object, np.ndarray]] = {}
 
 
@@ -104,41 +104,72 @@ def _encode_joined(words: list[str], path: str) -> Iterator[bytes]:
             at = end
 
 
+class _Cache:
+    """Ids by pre-token and by odd chunk, in two generations of about half of
+    ``CACHE_BYTES``: a full young one becomes the old one, and what is used
+    again of that moves back."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
+
+    def add(self, words: list[str], ids: Iterator[bytes]) -> None:
+        self.young.update(zip(words, ids))
+        self.size += sum(map(len, words)) + len(words) * ENTRY_BYTES
+
+    def missing(self, words: list[str]) -> list[str]:
+        """Those of distinct words that are unknown; the others are young now."""
+        new = [w for w in words if w not in self.young]
+        again = [w for w in new if w in self.old]
+        self.add(again, map(self.old.__getitem__, again))
+        return [w for w in new if w not in self.old] if again else new
+
+    def trim(self) -> None:
+        if self.size > CACHE_BYTES // 2:
+            self.young, self.old, self.size = {}, self.young, 0
+
+
 def _encode_chunks(chunks: list[str], path: str) -> list[bytes]:
     """Ids of distinct chunks without ASCII white space."""
-    known = _CACHES.setdefault(path, {})
-    if len(known) > CACHE:
-        known.clear()
+    cache = _CACHES.setdefault(path, _Cache())
     out: list[bytes] = []
     for lo in range(0, len(chunks), STEP):
+        cache.trim()
         step = chunks[lo:lo + STEP]
-        odd = list({w for w in step if w not in known and _ODD.search(w)})
-        known.update(zip(odd, _encode_each(odd, path)))
-        cut = [(w,) if w in known else _PRE_TOKEN.findall(w.lower()) for w in step]
-        new = list({p for ps in cut for p in ps if p not in known})
-        known.update(zip(new, _encode_joined(new, path)))
-        out += [known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps]) for ps in cut]
+        cut = [(w,) if w.isascii() and w.isalpha() else _PRE_TOKEN.findall(w) if w.isascii() and w.isprintable() else None for w in step]
+        new = cache.missing([w for w, ps in zip(step, cut) if ps is None])
+        cache.add(new, _encode_each(new, path))
+        new = cache.missing(list({p for ps in cut if ps for p in ps}))
+        cache.add(new, _encode_joined(new, path))
+        known = cache.young
+        out += [known[w] if ps is None else known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
+                for w, ps in zip(step, cut)]
     return out
 
 
-def encode(texts: pa.Array, path: str = VOCABULARY) -> Iterator[np.ndarray]:
-    """Unsigned 32-bit ids of each text of an Arrow string array, without an
-    end token; null counts as empty."""
+def encode_bytes(texts: pa.Array, path: str = VOCABULARY) -> Iterator[bytes]:
+    """Unsigned little-endian 32-bit ids of each text of an Arrow string array,
+    without an end token; null counts as empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    # A copy whose text bytes begin at 0: Arrow lower-cases the cast of a slice wrongly.
+    texts = pa.concat_arrays([texts, pa.array([], texts.type)])
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[:len(texts) + 1]
     for lo, hi in doc_blocks(offsets, BLOCK_BYTES):
-        split = pc.ascii_split_whitespace(texts.slice(lo, hi - lo))
+        # Punctuation that ends a chunk is a pre-token of its own.
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(texts.slice(lo, hi - lo)), _TAIL, r"\1 \2\3"))
+        stop = np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy())))
         words = split.flatten().dictionary_encode()
+        del split
         raw = _encode_chunks(words.dictionary.to_pylist(), path)
-        size = np.array([len(r) // 4 for r in raw], np.int64)
-        start = np.cumsum(size) - size
         of = words.indices.to_numpy()
-        n = size[of]
-        stop = np.concatenate(([0], np.cumsum(n)))
-        ids = np.frombuffer(b"".join(raw), "<u4")[np.repeat(start[of] - stop[:-1], n) + np.arange(stop[-1])]
-        at = stop[np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy())))]
-        for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
-            yield ids[x:y]
+        for x, y in zip(stop[:-1].tolist(), stop[1:].tolist()):
+            yield b"".join(map(raw.__getitem__, of[x:y].tolist()))
+
+
+def encode(texts: pa.Array, path: str = VOCABULARY) -> Iterator[np.ndarray]:
+    """The ids of each text as an array."""
+    return (np.frombuffer(raw, "<u4") for raw in encode_bytes(texts, path))
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY,
@@ -148,16 +179,18 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     end = _id_bytes([END_ID])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [(r, p, p * capacity, len(raw) // 4, zlib.crc32(raw)) for r, ids in enumerate(encode(b.column(2), path))
-                   for p, raw in enumerate(_cut(ids.tobytes() + end, 4 * capacity))]
-            cols = list(zip(*out)) or [()] * 5
-            at = pa.array(cols[0], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(at), b.column(1).take(at), pa.array(cols[1], pa.int32()),
-                 *[pa.array(c, pa.int64()) for c in cols[2:]]],
-                names=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
-        _CACHES.clear()  # Python workers outlive the task
+        try:
+            for b in batches:
+                out = [(r, p, p * capacity, len(raw) // 4, zlib.crc32(raw)) for r, ids in enumerate(encode_bytes(b.column(2), path))
+                       for p, raw in enumerate(_cut(ids + end, 4 * capacity))]
+                cols = list(zip(*out)) or [()] * 5
+                at = pa.array(cols[0], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(at), b.column(1).take(at), pa.array(cols[1], pa.int32()),
+                     *[pa.array(c, pa.int64()) for c in cols[2:]]],
+                    names=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
+        finally:
+            pa.default_memory_pool().release_unused()
 
     ids = docs.schema[id_col].dataType.simpleString()
     return (docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"),
