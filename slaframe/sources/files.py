@@ -103,6 +103,7 @@ def run_summary(metrics: DataFrame, readiness: DataFrame, paths: dict[str, str])
     return spark.range(1).select(F.to_json(doc).alias("summary"))
 
 
+_EMPTY = "\x00"  # stands for a quoted empty field while a file is read
 _EXACT_CSV = {"header": True, "quote": '"', "escape": '"', "nullValue": "", "emptyValue": '""', "ignoreLeadingWhiteSpace": False,
               "ignoreTrailingWhiteSpace": False, "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
@@ -117,4 +118,5 @@ def write_csv(df: DataFrame, path: str) -> None:
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Read what ``write_csv`` wrote. Fields may hold line ends, so a file is
     read by one task; the writer makes one file a task."""
-    return spark.read.schema(schema).options(**_EXACT_CSV | {"emptyValue": ""}, multiLine=True).csv(path)
+    df = spark.read.schema(schema).options(**_EXACT_CSV | {"emptyValue": _EMPTY}, multiLine=True).csv(path)
+    return df.select(*[F.when(F.col(c) == _EMPTY, "").otherwise(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
