@@ -1,19 +1,22 @@
 """Byte-level BPE encoding and decoding with Spark higher-order functions.
 
-A narrow map splits whole texts by the public pattern and turns each block of
-documents into one row: the distinct pre-tokens of the block as byte arrays,
-and per document the numbers of its pre-tokens. Spark then folds the ranked
+A narrow map splits whole texts by the public pattern. For each block of documents
+it gives the distinct pre-tokens of the block as byte arrays, ``WORDS`` a row, and
+then a row of the documents as numbers of pre-tokens. Spark folds the ranked
 merges over every distinct pre-token: ``aggregate`` keeps the parts, each with
 the rank of its pair above it, merges the leftmost pair of least rank and looks
 up only the two new neighbours. The rank map is a literal whose slot for
 a pair is found by one addition. Decoding concatenates the binary
-pieces of the ids, again a literal. A second narrow map puts the documents
-together. No shuffle, no broadcast of data; a block has at most
-``BLOCK_CHARS`` characters (or one document), so memory is bounded.
+pieces of the ids, again a literal. A second narrow map, which gets the rows of its
+partition in their order, puts the documents together. No shuffle, no
+broadcast of data; a block has at most ``BLOCK_CHARS`` characters (or one
+document) and a folded row ``WORDS`` pre-tokens, so memory is bounded.
 
 The fold works on pairs of ranks: a pair may merge if its bytes together are
 a token, as in the tiktoken library. Tokens that the merges cannot reach from
-single bytes are matched whole, as that library does.
+single bytes are matched whole, as that library does. A step copies the array of
+parts, so a pre-token of n bytes costs n steps of n: seconds for 10,000 letters
+without a space, hours for a million.
 
 Defined cases: null and empty texts have no tokens (sha256 of nothing); null
 ids and rows that repeat are encoded each; an empty table gives an empty
@@ -38,6 +41,7 @@ from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BLOCK_CHARS = 32 << 20
+WORDS = 10_000  # pre-tokens in a row
 SHIFTS, SLOTS = 1 << 15, 1 << 18
 NONE = 1 << 20  # ranks are below; a pair that is no token has this or more
 
@@ -176,22 +180,31 @@ class _Numbers(dict):
 
 
 def _split(docs: DataFrame, id_col: str, text_col: str, block_chars: int) -> DataFrame:
-    """ids, starts, uses (numbers of pre-tokens, little-endian), words."""
+    """Per block: rows of at most ``WORDS`` distinct pre-tokens as bytes, then one
+    row of documents: ids, starts and uses (numbers of pre-tokens, little-endian)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find = regex.compile(public_tokenizers.PATTERN).findall
+        names = ["ids", "starts", "uses", "words"]
         id_type = None
         ids, starts, uses, words, chars = [], [0], [], _Numbers(), 0
 
-        def row():
-            values = [list(w.encode()) for w in words]
-            return pa.RecordBatch.from_arrays(
+        def rows():
+            known = list(words)
+            for lo in range(0, len(known), WORDS):
+                data = [w.encode() for w in known[lo:lo + WORDS]]
+                sizes = np.cumsum([0, *map(len, data)])
+                values = pa.array(np.frombuffer(b"".join(data), np.uint8).astype(np.int32))
+                part = pa.ListArray.from_arrays(pa.array([0, len(data)], pa.int32()),
+                                                pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values))
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.list_(id_type)), pa.array([None], pa.binary()),
+                                                  pa.array([None], pa.binary()), part], names=names)
+            yield pa.RecordBatch.from_arrays(
                 [pa.array([ids], pa.list_(id_type)), pa.array([np.asarray(starts, "<i8").tobytes()], pa.binary()),
-                 pa.array([b"".join(uses)], pa.binary()), pa.array([values], pa.list_(pa.list_(pa.int32())))],
-                names=["ids", "starts", "uses", "words"])
+                 pa.array([b"".join(uses)], pa.binary()), pa.array([None], pa.list_(pa.list_(pa.int32())))], names=names)
 
         for b in batches:
             id_type = b.column(0).type
@@ -202,10 +215,10 @@ def _split(docs: DataFrame, id_col: str, text_col: str, block_chars: int) -> Dat
                 starts.append(starts[-1] + len(used))
                 chars += len(text or "")
                 if chars >= block_chars:
-                    yield row()
+                    yield from rows()
                     ids, starts, uses, words, chars = [], [0], [], _Numbers(), 0
         if ids:
-            yield row()
+            yield from rows()
 
     return (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"))
             .mapInArrow(run, f"ids array<{kind}>, starts binary, uses binary, words array<array<int>>"))
@@ -216,26 +229,34 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids if asked."""
     kind = docs.schema[id_col].dataType.simpleString()
     encode, decode = encoder(path), decoder(path)
-    coded = _split(docs, id_col, text_col, block_chars).withColumn("codes", F.transform("words", encode)).select(
-        "ids", "starts", "uses", F.transform("codes", lambda c: F.array_join(c.cast("array<string>"), " ")).alias("texts"),
-        F.transform("codes", F.size).alias("counts"), F.transform("codes", decode).alias("decoded"))
+
+    def word(w: Column) -> Column:
+        return _let(encode(w), lambda c: F.struct(F.array_join(c.cast("array<string>"), " ").alias("text"),
+                                                  F.size(c).alias("n"), decode(c).alias("decoded")))
+
+    coded = _split(docs, id_col, text_col, block_chars).select("ids", "starts", "uses", F.transform("words", word).alias("codes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, counts, parts = [], [], []  # of the block's words so far; rows come in their order
         for b in batches:
             for k in range(b.num_rows):
+                if b.column(0)[k].as_py() is None:
+                    codes = b.column(3).slice(k, 1).flatten()
+                    texts += [x.encode() for x in codes.field("text").to_pylist()]
+                    counts.append(codes.field("n").to_numpy(zero_copy_only=False))
+                    parts += codes.field("decoded").to_pylist()
+                    continue
                 ids = b.column(0).slice(k, 1).flatten()
                 starts = np.frombuffer(b.column(1)[k].as_py(), "<i8")
                 uses = np.frombuffer(b.column(2)[k].as_py(), "<i4")
-                texts = [x.encode() for x in b.column(3)[k].values.to_pylist()]
-                counts = b.column(4)[k].values.to_numpy(zero_copy_only=False)
-                parts = b.column(5)[k].values.to_pylist()
+                size = np.concatenate([np.zeros(0, np.int64), *counts])
                 for lo in range(0, len(ids), 1000):
                     hi = min(lo + 1000, len(ids))
                     n, coded_sha, decoded_sha, all_ids = [], [], [], []
                     for i in range(lo, hi):
                         use = uses[starts[i]:starts[i + 1]]
                         own = use.tolist()
-                        n.append(int(counts[use].sum()))
+                        n.append(int(size[use].sum()))
                         text = b" ".join(map(texts.__getitem__, own))
                         coded_sha.append(hashlib.sha256(text).hexdigest())
                         decoded_sha.append(hashlib.sha256(b"".join(map(parts.__getitem__, own))).hexdigest())
@@ -246,6 +267,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     if with_ids:
                         cols, names = [*cols, pa.array(all_ids, pa.list_(pa.int32()))], [*names, "ids"]
                     yield pa.RecordBatch.from_arrays(cols, names=names)
+                texts, counts, parts = [], [], []
 
     return coded.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
                             + (", ids array<int>" if with_ids else ""))
