@@ -33,7 +33,7 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import free_name, stored, table
 
 BLOCK_BYTES = 1024
 
@@ -130,8 +130,11 @@ FROM d WINDOW w AS (PARTITION BY h)
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of equal texts the row that stays, all its columns. Rows
     are told apart by their number in a stored copy, so repeated and null ids
-    come back only where the operator keeps them."""
-    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "dedup-docs")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")  # exact_dedup's order of rows
-    kept = exact_dedup(numbered.withColumn("_key", order), "_key").where("kept").select(F.col("doc_id._row").alias("_row"))
-    return numbered.join(kept, "_row", "left_semi").drop("_row")
+    come back only where the operator keeps them. The number's column has a
+    name that the documents do not use."""
+    row = free_name(docs, "_row")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "dedup-docs")
+    key = free_name(numbered, "_key")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))  # exact_dedup's order of rows
+    kept = exact_dedup(numbered.select(order.alias(key), "text"), key).where("kept").select(F.col("doc_id.row").alias(row))
+    return numbered.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

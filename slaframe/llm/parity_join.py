@@ -66,7 +66,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_blocks, partitions, stored, table, utf8_column
+from .common import doc_blocks, free_name, partitions, stored, table, utf8_column
 from .components import connected_components
 
 WORDS = 5
@@ -560,5 +560,6 @@ FROM (SELECT doc_id, len(sh) AS n, CASE WHEN len(sh) = 0 THEN doc_id ELSE min(do
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the document with the smallest id
     stays, with all its columns; rows with a null id stay."""
-    keep = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(keep, F.col("doc_id") == F.col("_kept_id"), "left_semi").unionByName(docs.where("doc_id is null"))
+    name = free_name(docs, "_kept_id")
+    keep = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias(name))
+    return docs.join(keep, F.col("doc_id") == F.col(name), "left_semi").unionByName(docs.where("doc_id is null"))

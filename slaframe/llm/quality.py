@@ -27,12 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, utf8_column
 
 FIT_ROWS = 4000
+FIT_BYTES = 64 << 20  # of texts that it is fitted on
 THRESHOLD = 0.3
 EMBED, WIDTH, STRIDE, FILTERS = 4, 32, 16, 24
 SEGMENT = 1 << 19
@@ -143,17 +144,27 @@ def fold(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id",
-          text_col: str = "text", label_col: str = "quality") -> dict[str, np.ndarray]:
-    """Fit on at most ``fit_rows`` labelled rows outside fold 0, in one task;
-    the driver gets the fitted weights only."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text",
+                    label_col: str = "quality", fit_bytes: int = FIT_BYTES) -> DataFrame:
+    """_id, y, t (bytes): at most ``fit_rows`` labelled ids outside fold 0, one row
+    each. Of the rows that share an id the one of the least text hash counts, and
+    ids are taken in hash order until their texts have ``fit_bytes``, so neither a
+    repeated id nor very long texts fill the task that fits."""
     rows = (labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y"))
             .where(F.col("_id").isNotNull() & F.col("y").isNotNull()).where(fold("_id") != 0)
             .groupBy("_id").agg(F.max("y").alias("y"))
             .orderBy(F.xxhash64("_id"), "_id").limit(fit_rows))
-    picked = (docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    picked = (docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
               .join(F.broadcast(rows), "_id")  # at most fit_rows rows
-              .select(F.lit(0).alias("one"), "_id", "y", F.col("t").cast("binary").alias("t")))
+              .groupBy("_id", "y").agg(F.min(F.struct(F.xxhash64("t"), "t"))["t"].alias("t")))
+    so_far = Window.orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, 0)  # over at most fit_rows rows
+    return picked.withColumn("bytes", F.sum(F.octet_length("t")).over(so_far)).where(F.col("bytes") <= fit_bytes).drop("bytes")
+
+
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id",
+          text_col: str = "text", label_col: str = "quality", fit_bytes: int = FIT_BYTES) -> dict[str, np.ndarray]:
+    """Fit on ``labelled_sample`` in one task; the driver gets the fitted weights only."""
+    picked = labelled_sample(docs, labels, fit_rows, id_col, text_col, label_col, fit_bytes).select(F.lit(0).alias("one"), "_id", "y", "t")
 
     def fitted(key, frame):
         import pandas as pd

@@ -10,8 +10,7 @@ original. Spark's text writer puts the records into gzip archives in any
 store it can write to; the line separator is the blank line that ends a
 record.
 
-Reading takes whole archives (one bounded file per write task, limited by
-``RECORDS_PER_FILE``), parses records by Content-Length, recomputes the digest
+Reading takes whole archives (bounded in bytes by ``ARCHIVES``), parses records by Content-Length, recomputes the digest
 of every payload found and resolves revisits by a join on the record id.
 
 Defined cases: a null html is an empty payload; a null url gives no target
@@ -31,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import fresh_dir
+from ..session import fresh_dir, path_kind
 from .common import stored, table
 
 MIN_BYTES = 1000
-RECORDS_PER_FILE = 4000
+#: Payload bytes up to which pages share an archive, and records in one: 64 MB at most. Larger pages have an archive each.
+ARCHIVES = ((16 << 10, 4000), (1 << 20, 64), (None, 1))
 DATE = "2025-01-01T00:00:00Z"
 END = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
@@ -91,9 +91,18 @@ def record(date: str = DATE) -> Column:
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> None:
-    """Write deduplicated .gz archives below ``path``."""
-    (resolve(headers(pages), min_bytes).select(record().alias("value"))
-     .write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
+    """Write deduplicated .gz archives below ``path``, in a folder for each class
+    of page sizes, so that an archive's bytes are bounded and not only its
+    records. The headers are stored first: numbers and record ids are made once."""
+    head = stored(headers(pages), "headers")
+    own = resolve(head, min_bytes)
+    low = -1
+    for k, (high, records) in enumerate(ARCHIVES):
+        size = (F.col("bytes") > low) & (F.lit(True) if high is None else F.col("bytes") <= high)
+        if not head.where(size).isEmpty():
+            (own.where(size).select(record().alias("value"))
+             .write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records).text(f"{path}/size{k}"))
+        low = high
 
 
 def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -139,8 +148,10 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(run, RECORDS)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", True)
+    if path_kind(spark, path) is None:  # no page at all
+        return spark.createDataFrame([], RECORDS)
+    return files.load(path).select("content").mapInArrow(run, RECORDS)
 
 
 def resolved(records: DataFrame) -> DataFrame:

@@ -65,6 +65,16 @@ def test_dedup_stage_with_repeated_and_null_ids(spark):
     assert sorted(out, key=lambda r: r[1]) == [(1, "a"), (1, "b"), (None, "c"), (1, "d")]
 
 
+def test_stages_keep_columns_with_internal_names(spark):
+    given = [(1, "a b c d e f", 10, 11, 12, 13), (2, "a b c d e f", 20, 21, 22, 23), (None, "x", 30, 31, 32, 33), (3, None, 40, 41, 42, 43)]
+    docs = spark.createDataFrame(given, "doc_id long, text string, _row int, _key int, _kept_id int, _KEPT_ID_ int")
+    for stage in (exact_dedup.dedup_stage, parity_join.near_duplicate_stage):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        assert sorted(map(tuple, out.collect()), key=str) == sorted([given[0], *given[2:]], key=str)
+        assert stage(spark, docs.where("false"), "").count() == 0
+
+
 def shingles(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return {" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
@@ -166,15 +176,73 @@ def test_packing_ends_when_no_two_units_fit(spark):
     assert sequences(apart) == 2998  # short ones fit beside each other only
 
 
+def test_packing_under_limits_of_documents_and_attention(spark):
+    sizes = spark.range(4000).select(F.col("id").alias("unit"), (F.pmod(F.xxhash64("id"), F.lit(400)) + 1).alias("tokens"))
+    square = (F.col("tokens") * F.col("tokens")).alias("square")
+    for limits in ({"max_documents": 3}, {"max_attention": 250_000}, {"max_documents": 4, "max_attention": 180_000, "rule": "dot"}):
+        got = packing.pack(sizes, 2000, group=700, **limits).join(sizes, "unit").withColumn("square", square).groupBy("sequence_id").agg(
+            F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.sum("square").alias("s"))
+        total = got.agg(F.sum("n").alias("n"), F.max("t").alias("t"), F.max("n").alias("most"), F.max("s").alias("s"), F.count(F.lit(1)).alias("bins"),
+                        F.sum("t").alias("tokens"), F.sum("s").alias("squares")).first()
+        documents, attention = limits.get("max_documents", 2000), limits.get("max_attention", 2000 ** 2)
+        assert total.n == 4000 and total.t <= 2000 and total.most <= documents and total.s <= attention
+        assert total.bins <= 1.2 * max(total.tokens / 2000, total.n / documents, total.squares / attention) + 1
+
+
+def test_operators_on_no_rows(spark, docs):
+    none = docs.where("false")
+    assert packing.best_fit_packing(none).count() == 0
+    assert token_counts.edit_counts(token_counts.sample_edits(none)).count() == 0
+    assert licenses.license_scan(none).count() == 0
+    assert quality.score(none, {"share": np.array([0.5])}).count() == 0
+    told = chat.transcripts(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
+    assert chat.format_chats(told, chat.fit(told)).count() == 0
+
+
+def test_archives_of_no_pages(spark, tmp_path):
+    warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "none"))
+    assert warc.resolved(warc.read_archives(spark, str(tmp_path / "none"))).count() == 0
+
+
+def test_archives_are_bounded_in_bytes(spark, tmp_path):
+    sizes = [10] * 50 + [40_000] * 200 + [2_000_000] * 3
+    pages = spark.createDataFrame([(i, f"u{i}", f"{i:06}" + "x" * n) for i, n in enumerate(sizes)], "page_id long, url string, html string")
+    warc.write_archives(pages.coalesce(1), str(tmp_path / "w"))
+    counts = [len(list(warc.parse(f.read_bytes()))) for f in sorted((tmp_path / "w").rglob("*.gz"))]
+    assert sum(counts) == len(sizes) and sorted(counts)[:3] == [1, 1, 1] and max(counts) == 64
+    out = {r.page_id: r for r in warc.resolved(warc.read_archives(spark, str(tmp_path / "w"))).collect()}
+    assert {i: r.payload_bytes for i, r in out.items()} == {i: n + 6 for i, n in enumerate(sizes)}
+
+
+def test_edit_counts_against_brute_force(spark, docs, rows):
+    enc = token_counts._encoding(token_counts.VOCABULARY)
+    size = lambda t: len(enc.encode_ordinary(t or ""))
+    short = [(i, t) for i, t in rows if len(t or "") < 1000]
+    edits = [(None, 3, "x"), (2, None, "new words "), (10_000, 5, " end"), (0, 10_000, None), (1, 2, "")]
+    given = [(i, t, [e, None]) for i, t in short for e in edits] + [(i, t, None) for i, t in short]
+
+    def edited(t, es):
+        t = t or ""
+        for e in es or []:
+            if e is not None:
+                at, n, new = e[0] or 0, e[1] or 0, e[2] or ""
+                t = t[:at] + new + t[at + n:]
+        return t
+
+    frame = spark.createDataFrame(given, "doc_id long, text string, edits array<struct<start:int,length:int,insert:string>>")
+    got = sorted((str(r.doc_id), r.n_tokens, r.n_tokens_edited, r.chars_edited) for r in token_counts.edit_counts(frame).collect())
+    assert got == sorted((str(i), size(t), size(edited(t, es)), len(edited(t, es))) for i, t, es in given)
+
+
 def test_byte_bpe(docs, rows):
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    out = bpe.encode_documents(docs.where("doc_id is null or doc_id not in (12, 13)"), block_chars=100, with_ids=True).collect()
-    want = sorted((str(i), enc.encode_ordinary(t or ""), hashlib.sha256((t or "").encode()).hexdigest())
-                  for i, t in rows if i not in (12, 13))
+    want = sorted((str(i), enc.encode_ordinary(t or ""), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
+    out = bpe.encode_documents(docs, block_chars=100, with_ids=True).collect()  # the two long texts are blocks of several rows
     assert sorted((str(r.doc_id), r.ids, r.decoded_sha256) for r in out) == want
+    assert bpe.encode_documents(docs.where("false")).count() == 0
 
 
 def test_imatch(docs, rows):
@@ -198,6 +266,17 @@ def test_quality_separates_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_quality_fit_is_bounded_in_rows_and_bytes(spark):
+    """A third of the rows on one id, very long texts."""
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.lit("some text").alias("text"))
+    labels = rows.select("doc_id").distinct().withColumn("quality", F.lit(1))
+    got = quality.labelled_sample(rows, labels, fit_rows=100)
+    assert got.count() == got.select("_id").distinct().count() == 100
+    long = rows.where("doc_id <> 7").withColumn("text", F.expr("repeat('x', 10000)"))
+    assert quality.labelled_sample(long, labels, fit_bytes=105_000).count() == 10
+    assert quality.labelled_sample(rows.where("false"), labels).count() == 0
+
+
 def test_quality_covers_segments_and_odd_inputs(docs, spark):
     net = quality.init_net()
     raw = np.random.default_rng(0).integers(0, 255, 3 * quality.SEGMENT + 77).astype(np.uint8)
@@ -317,3 +396,11 @@ def test_pipeline_stages_against_brute_force(spark):
             assert ids == {i for i in sets if comp[i] == i}
     last = cp.STAGES[3][1](spark, kept, SF)
     assert last.select("doc_id").distinct().count() == kept.count()
+
+
+def test_pipeline_runs_all_stages(spark):
+    import corpus_pipeline as cp
+
+    out = cp.run(spark, SF).collect()
+    assert out and all(r.offset + r.length <= packing.CAPACITY for r in out)
+    assert {r.doc_id for r in out} <= {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
