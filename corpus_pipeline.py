@@ -3,6 +3,13 @@
 Each stage works on all rows its predecessor kept. ``run`` writes every
 stage's result as Parquet to the shared folder and rereads it as the next
 stage's documents, so a lost executor costs one stage at most.
+
+Defined cases, for every stage: a null text counts as empty (without words it
+is near to nothing); rows with a null id stay unless the classifier rejects their
+text or a row with an equal text stays for them; rows that repeat an id are
+judged each by their text in the first two stages and go the same way in the third,
+which keeps them if their id is the smallest of its group; further columns are
+carried along whatever their names; empty documents give an empty result.
 """
 
 from __future__ import annotations
