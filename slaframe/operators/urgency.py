@@ -15,10 +15,14 @@ from ..functions.exprs import as_of_ts, dbl, hours_between
 
 
 def with_urgency(df: DataFrame, as_of: str = dims.AS_OF,
-                 window_hours: float = dims.URGENCY_WINDOW_HOURS) -> DataFrame:
-    """Hours since creation, hours until breach, already breached."""
+                 window_hours: float | Column = dims.URGENCY_WINDOW_HOURS) -> DataFrame:
+    """Hours since creation, hours until breach, already breached.
+
+    ``window_hours`` is one window for all or a column, such as each
+    department's deadline; without a window the hours left are null and the ticket is in no tier."""
+    window = window_hours.cast("double") if isinstance(window_hours, Column) else dbl(window_hours)
     return (df.withColumn("hours_since_creation", hours_between("created_at", as_of_ts(as_of)))
-              .withColumn("hours_until_breach", dbl(window_hours) - F.col("hours_since_creation"))
+              .withColumn("hours_until_breach", window - F.col("hours_since_creation"))
               .withColumn("already_breached", F.col("hours_until_breach") < 0))
 
 
@@ -69,8 +73,9 @@ def capacity_alert(critical_n: Column, dire_n: Column, high_n: Column) -> Column
             .when(high_n > 0, "STABLE").otherwise("OPTIMAL"))
 
 
-def urgency_by(df: DataFrame, key: str = "dept", as_of: str = dims.AS_OF) -> DataFrame:
+def urgency_by(df: DataFrame, key: str = "dept", as_of: str = dims.AS_OF,
+               window_hours: float | Column = dims.URGENCY_WINDOW_HOURS) -> DataFrame:
     """Urgency tier counts per group with the alert level of each group."""
-    out = (with_urgency(df, as_of).where(F.col(key).isNotNull())
+    out = (with_urgency(df, as_of, window_hours).where(F.col(key).isNotNull())
            .groupBy(key).agg(F.count(F.lit(1)).alias("tickets"), *urgency_counts()))
     return out.withColumn("capacity_alert", capacity_alert(F.col("critical"), F.col("dire"), F.col("high_risk")))

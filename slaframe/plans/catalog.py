@@ -494,6 +494,24 @@ def u08_u09_urgency_by_dept(spark, sf):
     return urgency.urgency_by(T(spark, sf), "dept")
 
 
+_HUD = f"(CAST(sla_deadline_hours AS DOUBLE) - {hours_since('created_at')})"  # against each department's deadline
+
+
+@register("u01_u03_urgency_by_deadline", with_tickets(
+    f"SELECT ticket_id, round({_HUD}, 6) AS hours_until_breach, {_HUD} < 0 AS already_breached FROM tickets"))
+def u01_u03_urgency_by_deadline(spark, sf):
+    u = urgency.with_urgency(T(spark, sf), window_hours=F.col("sla_deadline_hours"))
+    return u.select("ticket_id", r6("hours_until_breach").alias("hours_until_breach"), "already_breached")
+
+
+@register("u08_u09_urgency_by_deadline", with_tickets(
+    f"SELECT *, {_alert_sql()} AS capacity_alert FROM (SELECT dept, count(*) AS tickets, "
+    + ", ".join(f"{v} AS {k}" for k, v in _urgency_sql_cols().items()).replace(_HUB, _HUD)
+    + " FROM tickets WHERE dept IS NOT NULL GROUP BY dept)"))
+def u08_u09_urgency_by_deadline(spark, sf):
+    return urgency.urgency_by(T(spark, sf), "dept", window_hours=F.col("sla_deadline_hours"))
+
+
 # ---------------------------------------------------------------- KPIs
 
 _P = "pred_sla_breach_prob"

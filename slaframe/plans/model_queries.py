@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.exprs import priority_formula
-from ..operators import checks, enrich, model as M
+from ..operators import boosting, checks, enrich, model as M
 from ..session import ensure_checkpoint_dir, fresh_dir
 from ..sources import files
 from ..sources.tickets import stored_tickets as T
@@ -226,6 +226,49 @@ def s05_score_importance(spark, sf):
     return files.read_importance(spark, path)
 
 
+# The first tree of the boosting over histograms, over fixed cuts of the numbers.
+TREE_DEPTH = 4
+_TREE_CUTS = {"severity": [1, 2], "citizen_sentiment": [k / 8 for k in range(-7, 8)], "vulnerable_population": [0],
+              "historical_backlog": list(range(5, 120, 5)), "resource_availability": [k / 16 for k in range(1, 16)],
+              "weather_rain_mm": list(range(1, 31)), "traffic_index": list(range(4, 100, 4)), "festival_season": [0],
+              "created_hour": list(range(23)), "is_business_hours": [0], "is_weekend": [0]}
+_CODES_SQL = ", ".join([f"dense_rank() OVER (ORDER BY {c}) - 1" for c in M.CAT_COLS] + [
+    " + ".join(f"CAST({c} > {d(x)} AS INTEGER)" for x in _TREE_CUTS[c]) for c in M.NUM_COLS])
+_FEATURES_SQL = "[" + ", ".join(f"'{f}'" for f in M.FEATURES) + "]"
+
+
+def _level_sql(k: int) -> list[str]:
+    """Sums, totals, best splits of depth ``k``, and the rows below them."""
+    n_cats = len(M.CAT_COLS)
+    running = ", ".join(f"CASE WHEN f >= {n_cats} THEN sum({x}) OVER w ELSE {x} END AS l{x}" for x in "nrh")
+    return [
+        f"_hist{k} AS (SELECT node, f, codes[f + 1] AS code, count(*) AS n, sum(r) AS r, sum(h) AS h FROM _rows{k}, "
+        f"(SELECT unnest(range({len(M.FEATURES)})) AS f) GROUP BY 1, 2, 3)",
+        f"_total{k} AS (SELECT node, sum(n) AS n, sum(r) AS r, sum(h) AS h FROM _hist{k} WHERE f = 0 GROUP BY 1)",
+        f"_best{k} AS (SELECT * FROM (SELECT _l.node, f, code, round(ln * (n - ln) / n * pow(lr / ln - (r - lr) / (n - ln), 2), 9) AS gain "
+        f"FROM (SELECT node, f, code, {running} FROM _hist{k} WINDOW w AS (PARTITION BY node, f ORDER BY code)) _l JOIN _total{k} "
+        f"ON _l.node = _total{k}.node WHERE n >= 20 AND ln >= 10 AND n - ln >= 10) WHERE gain > 0 "
+        "QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, code) = 1)",
+        f"_rows{k + 1} AS (SELECT 2 * _r.node + CASE WHEN codes[f + 1] = code OR (f >= {n_cats} AND codes[f + 1] < code) THEN 1 ELSE 2 END "
+        f"AS node, codes, r, h FROM _rows{k} _r JOIN _best{k} ON _r.node = _best{k}.node)"]
+
+
+@register("m05_first_tree", with_tickets(
+    " UNION ALL ".join(
+        f"SELECT CAST(t.node AS INTEGER) AS node, {_FEATURES_SQL}[s.f + 1] AS feature, CAST(coalesce(s.code, -1) AS INTEGER) AS code, "
+        f"CAST(n AS BIGINT) AS rows, round(r / h, 6) AS value FROM _total{k} t LEFT JOIN _best{k} s ON t.node = s.node" for k in range(TREE_DEPTH))
+    + f" UNION ALL SELECT CAST(node AS INTEGER), NULL, -1, count(*), round(sum(r) / sum(h), 6) FROM _rows{TREE_DEPTH} GROUP BY node",
+    _SPLIT_CTE,
+    f"_coded AS (SELECT ticket_id, sla_breach, [{_CODES_SQL}] AS codes, avg(sla_breach) OVER () AS p FROM _split WHERE NOT is_test)",
+    "_rows0 AS (SELECT 0 AS node, codes, sla_breach - p AS r, p * (1 - p) AS h FROM _coded WHERE "
+    f"substr(md5(ticket_id || '42-0'), 1, 8) < '{round(0.8 * 16**8):08x}')",
+    *[x for k in range(TREE_DEPTH) for x in _level_sql(k)]))
+def m05_first_tree(spark, sf):
+    train = M.features(_split_stored(spark, sf).where(~F.col("is_test")))
+    model = boosting.fit(train, rounds=1, depth=TREE_DEPTH, cuts=_TREE_CUTS)
+    return boosting.nodes(model, 0, train).withColumn("value", r6("value"))
+
+
 @register("m05_train_gbt")
 def m05_train_gbt(spark, sf):
     model = _fitted(spark, sf)

@@ -222,3 +222,12 @@ def test_dept_distribution_and_readiness(spark):
 def test_labels():
     assert dims.label_of("pred_sla_breach_prob") == "Risk Score"
     assert dims.label_of("ticket_id") == "Ticket Id"
+
+
+def test_urgency_against_a_column_of_windows(spark):
+    df = spark.createDataFrame([("a", dt.datetime(2025, 11, 25), 168), ("b", dt.datetime(2025, 11, 25), 24),
+                                ("c", dt.datetime(2025, 11, 25), 23), ("d", dt.datetime(2025, 11, 25), None)],
+                               "ticket_id string, created_at timestamp_ntz, sla_deadline_hours int")
+    got = {r.ticket_id: (r.hours_until_breach, r.already_breached)
+           for r in urgency.with_urgency(df, "2025-11-26 00:00:00", F.col("sla_deadline_hours")).collect()}
+    assert got == {"a": (144.0, False), "b": (0.0, False), "c": (-1.0, True), "d": (None, None)}
