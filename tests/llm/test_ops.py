@@ -245,6 +245,66 @@ def test_byte_bpe(docs, rows):
     assert bpe.encode_documents(docs.where("false")).count() == 0
 
 
+def vocabulary(tmp_path, tokens, seed=0):
+    """A rank file: the bytes in any order, then the tokens in theirs."""
+    single = [bytes([b]) for b in np.random.default_rng(seed).permutation(256)]
+    ranks = {t: r for r, t in enumerate(single + list(tokens))}
+    path = tmp_path / f"ranks{seed}.tiktoken"
+    path.write_bytes(b"\n".join(base64.b64encode(t) + b" %d" % r for t, r in ranks.items()))
+    return str(path), ranks
+
+
+def test_byte_bpe_cuts(tmp_path):
+    """Segments merged one by one give what whole words give, whatever the ranks are."""
+    rng = np.random.default_rng(5)
+    cut = 0
+    for trial in range(60):
+        letters = [bytes([x]) for x in b"abcdefgh"[:rng.integers(2, 9)]]
+        tokens = []
+        while len(tokens) < (3, 6, 10, 40)[trial % 4]:
+            t = b"".join((letters + tokens)[k] for k in rng.integers(0, len(letters) + len(tokens), 2))
+            if len(t) < 9 and t not in tokens:
+                tokens.append(t)
+        tokens = [tokens[k] for k in rng.permutation(len(tokens))] if trial % 2 else tokens
+        path, ranks = vocabulary(tmp_path, tokens, trial)
+        pairs = {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t))
+                 if t[:i] in ranks and t[i:] in ranks}
+        words = [b"".join(letters[k] for k in rng.integers(0, len(letters), rng.integers(1, 15))) for _ in range(200)]
+        tables = bpe.cut_tables(path)
+        if tables["apart"]:
+            continue
+        segments, counts = bpe._cuts(words, tables)
+        merged = [bpe._merge([x & (bpe.NONE - 1) for x in parts], pairs) for parts in bpe._parts(segments, tables).to_pylist()]
+        ends = np.cumsum(counts)
+        got = [sum(merged[a:b], []) for a, b in zip([0, *ends[:-1]], ends)]
+        assert got == [bpe._merge([ranks[bytes([b])] for b in w], pairs) for w in words]
+        cut += len(segments) - len(words)
+    assert cut > 10_000
+
+
+def test_byte_bpe_folds_less_than_the_bytes(spark):
+    """Long made-up words share segments: the fold gets less than half of the bytes of the distinct pre-tokens."""
+    rng = np.random.default_rng(2)
+    beats = [c + v + e for c in ("b", "gr", "st", "l", "wh") for v in ("a", "eo", "i", "ou") for e in ("", "nd", "rg", "x")]
+    texts = [" ".join("".join(beats[k] for k in rng.integers(0, len(beats), 4)) for _ in range(50)) for _ in range(40)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    parts = bpe._split(frame, "doc_id", "text", bpe.VOCABULARY, 1 << 20).select(F.explode("words").alias("w")).agg(F.sum(F.size("w"))).first()[0]
+    assert 2 * parts < sum(map(len, {w for t in texts for w in re.findall(r" ?\w+", t)}))
+
+
+def test_byte_bpe_token_out_of_reach(spark, tmp_path):
+    """A token that no merges reach counts for whole pre-tokens only, also beside others."""
+    import tiktoken
+
+    path, ranks = vocabulary(tmp_path, [b"bc", b"ab", b"abc", b"xyz", b" a", b" abc"])
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["xyz", " xyz", "xyz abcxyz abc", "abcabab xyz1xyz", "", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in bpe.encode_documents(frame, path=path, with_ids=True).collect()}
+    assert [out[i].ids for i in range(6)] == [enc.encode_ordinary(t or "") for t in texts]
+    assert [out[i].decoded_sha256 for i in range(6)] == [hashlib.sha256((t or "").encode()).hexdigest() for t in texts]
+
+
 def test_imatch(docs, rows):
     out = imatch.fingerprints(docs).collect()
     assert len(out) == len(rows)
