@@ -79,7 +79,9 @@ def test_thresholds_by_shares_of_rows():
     assert len(many) == 31 and np.ptp(np.diff(many)) <= 1
 
 
-def test_a_label_other_than_0_and_1_is_refused(spark, train, monkeypatch):
+def test_bad_labels_and_numbers_are_refused(train, monkeypatch):
     monkeypatch.setattr(M, "MLLIB_ROWS", 0)
     with pytest.raises(Exception, match="neither 0 nor 1"):
         M.train_gbt(train.withColumn("sla_breach", F.lit(2)), max_iter=1)
+    with pytest.raises(Exception, match="null or infinite"):
+        M.train_gbt(train.withColumn("severity", F.when(F.col("severity") > 1, F.col("severity"))), max_iter=1)
